@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from skein.llm.pagejobs import body_blocks, residue_pages
+from skein.llm.pagejobs import alike_page_classes, alike_pages, body_blocks, residue_pages
 from skein.shared import table
 
 
@@ -17,5 +16,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return residue_pages(table(spark, d, "responses"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return alike_pages(table(spark, d, "responses"))
+
+
+def p7_classes(spark: SparkSession, d: str) -> DataFrame:
+    return alike_page_classes(table(spark, d, "responses"))
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p7_found": p7_found, "p7_classes": p7_classes}
 SQL: dict[str, str] = {}

@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.alike import alike_classes, class_key, pack
 from skein.llm.pages import main_body, noscript_text
 from skein.llm.residue import WIDE_SOURCES, is_message, masked, may_be_message, residue_kind
 from skein.shared import written
@@ -55,17 +56,18 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
 def page_bodies(responses: DataFrame, *, html: str = "html", key: str = "response_id", url: str = "url", shingle: int = 0) -> DataFrame:
     """One row per response with html: its body's block md5s, residue and, if asked, shingles.
 
-    ``(id, md5s array<binary>, kind string, doubtful array<string>, site string, sets binary)``.
+    ``(id, md5s array<binary>, kind string, doubtful array<string>, site string, sets binary, ck bigint)``.
     ``kind`` is the residue that a rule alone decides; ``doubtful`` are masked
     short messages that only recurrence over sources decides.  Null html gives
     no row; empty html gives a row without blocks.  ``sets`` holds the sorted
-    64-bit hashes of the body's different ``shingle``-word sequences, if ``shingle``.
+    hashes of the body's different ``shingle``-word sequences, if ``shingle``
+    (then without md5s), and ``ck`` a key of that set.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
         for batch in batches:
-            ids, md5s, kinds, doubts, sites, sets = [], [], [], [], [], []
+            ids, md5s, kinds, doubts, sites, sets, keys = [], [], [], [], [], [], []
             for i, u, page in zip(*(c.to_pylist() for c in batch.columns)):
                 texts, listing = main_body(page)
                 kind, doubt = None, []
@@ -84,15 +86,17 @@ def page_bodies(responses: DataFrame, *, html: str = "html", key: str = "respons
                 kinds.append(kind)
                 doubts.append(doubt)
                 sites.append((urlsplit_host(u) if doubt else None))
-                md5s.append([hashlib.md5(t.encode("utf-8", "replace"), usedforsecurity=False).digest() for t in dict.fromkeys(texts)] if not kind else [])
-                sets.append(shingles(word_hashes(" ".join(texts), cache), shingle).tobytes() if shingle and not kind else None)
+                md5s.append([hashlib.md5(t.encode("utf-8", "replace"), usedforsecurity=False).digest() for t in dict.fromkeys(texts)] if not kind and not shingle else [])
+                packed = pack(shingles(word_hashes(" ".join(texts), cache), shingle)) if shingle and not kind else None
+                sets.append(packed)
+                keys.append(class_key(packed) if packed else None)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(md5s, pa.list_(pa.binary())), pa.array(kinds, pa.string()), pa.array(doubts, pa.list_(pa.string())), pa.array(sites, pa.string()), pa.array(sets, pa.binary())],
-                names=["id", "md5s", "kind", "doubtful", "site", "sets"],
+                [pa.array(ids, pa.int64()), pa.array(md5s, pa.list_(pa.binary())), pa.array(kinds, pa.string()), pa.array(doubts, pa.list_(pa.string())), pa.array(sites, pa.string()), pa.array(sets, pa.binary()), pa.array(keys, pa.int64())],
+                names=["id", "md5s", "kind", "doubtful", "site", "sets", "ck"],
             )
 
     rows = responses.select(F.col(key).cast("long").alias("id"), F.col(url).alias("u"), F.col(html).alias("h")).where(F.col("h").isNotNull() & F.col("id").isNotNull())
-    return rows.mapInArrow(run, "id bigint, md5s array<binary>, kind string, doubtful array<string>, site string, sets binary")
+    return rows.mapInArrow(run, "id bigint, md5s array<binary>, kind string, doubtful array<string>, site string, sets binary, ck bigint")
 
 
 def urlsplit_host(u: str | None) -> str | None:
@@ -137,3 +141,34 @@ def body_blocks(responses: DataFrame, **names: str) -> DataFrame:
     """
     found = clean_bodies(responses, **names).select(F.col("id").alias("response_id"), F.explode("md5s").alias("m")).distinct()
     return found.select("response_id", F.lower(F.hex("m")).alias("block_md5"))
+
+
+def _members(responses: DataFrame, shingle: int, **names: str) -> tuple[DataFrame, DataFrame]:
+    bodies = clean_bodies(responses, shingle=shingle, **names).where(F.col("ck").isNotNull())
+    return bodies.select("ck", "sets"), bodies.select("id", "ck").distinct()
+
+
+def alike_pages(responses: DataFrame, *, threshold: float = 0.5, shingle: int = 3, **names: str) -> DataFrame:
+    """Pairs of responses with alike bodies: distinct ``(response_id_a, response_id_b)``, smaller first.
+
+    Alike: of the different ``shingle``-word sequences of either body at least
+    ``threshold`` occur in both.  Residue takes no part, nor do bodies of fewer
+    words than a shingle.  Members of one class (equal sets) are alike; the
+    definition asks for every pair, so that a class of k members gives
+    k(k-1)/2 rows.  Use :func:`alike_page_classes` for one row per response.
+    """
+    docs, members = _members(responses, shingle, **names)
+    links = alike_classes(docs, threshold)
+    one, two = members.select(F.col("id").alias("x"), F.col("ck").alias("a")), members.select(F.col("id").alias("y"), F.col("ck").alias("b"))
+    across = links.join(one, "a").join(two, "b").select("x", "y")
+    within = one.join(two, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select("x", "y")
+    return across.unionByName(within).select(F.least("x", "y").alias("response_id_a"), F.greatest("x", "y").alias("response_id_b")).where("response_id_a < response_id_b").distinct()
+
+
+def alike_page_classes(responses: DataFrame, *, threshold: float = 0.5, shingle: int = 3, **names: str) -> DataFrame:
+    """One row per response: class id (smallest member), members, and links of its class to other classes."""
+    docs, members = _members(responses, shingle, **names)
+    links = alike_classes(docs, threshold)
+    degree = links.select(F.explode(F.array("a", "b")).alias("ck")).groupBy("ck").agg(F.count(F.lit(1)).alias("n_links"))
+    classes = members.groupBy("ck").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("n_members"))
+    return members.join(classes.join(degree, "ck", "left"), "ck").select(F.col("id").alias("response_id"), "class_id", "n_members", F.coalesce("n_links", F.lit(0)).alias("n_links"))
