@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from functools import lru_cache
 
 # --- fixed values: wording of page furniture in five languages -----------------------------------
 
@@ -41,11 +42,29 @@ INLINE = "a|b|i|em|strong|span|code|small|sub|sup|br"
 VOID = {"meta", "link", "img", "hr", "input", "wbr", "area", "base", "col", "embed", "source", "track"}
 # --- end of fixed values --------------------------------------------------------------------------
 
-_FURNITURE = re.compile("|".join(f"(?:{x})" for x in (CONSENT, LEGAL, POINTER, POPULAR, LETTER, AD, SHARE, TAGS, PAGING, TOP, SEARCH, LOGIN)), re.I)
+_ALL = re.compile("|".join(f"(?:{x})" for x in (CONSENT, LEGAL, POINTER, POPULAR, LETTER, AD, SHARE, TAGS, PAGING, TOP, SEARCH, LOGIN)), re.I)
 #: Wording that marks the whole segment in which it stands.
 _SEGMENT = re.compile("|".join(f"(?:{x})" for x in (LEGAL, POPULAR, LETTER)), re.I)
+#: Patterns that begin the text, and stems of which any other pattern needs one.
+_BEGIN = re.compile("|".join(f"(?:{x})" for x in (POINTER, POPULAR, AD, SHARE, TAGS, PAGING, TOP, SEARCH, LOGIN, r"[(©]|letter|unser|nuestra|notre|наш|get|sub|sign|abon|sus|s.abon|під|cookie settings")), re.I)
+_STEMS = ("cooki", "priva", "stored", "remember", "choices", "dateien", "annehmen", "merken", "archivos", "aceptar", "recordamos", "accepter", "fichiers", "retenons", "прийняти", "файлів", "візит", "datenschutz", "besuche", "visitas", "visites", "confidentialit", "відвідування", "rights", "vorbehalten", "reservados", "réservés", "захищено", "newsletter")
+
+
+@lru_cache(maxsize=50_000)
+def _wording(text: str) -> int:
+    """0 for wording that says nothing, 1 for page furniture, 2 if it marks its whole segment."""
+    if len(text) >= 240:
+        return 0
+    if not _BEGIN.match(text):
+        low = text.lower()
+        if not any(s in low for s in _STEMS):
+            return 0
+    return (2 if _SEGMENT.search(text) else 1) if _ALL.search(text) else 0
+
+
 _HOME = re.compile(HOME, re.I)
 _ATTR = re.compile(ATTRIBUTES, re.I)
+_attributes = lru_cache(maxsize=20_000)(lambda attrs: _ATTR.search(attrs) is not None)
 _NAV_TAGS = {"nav", "footer", "aside", "form", "button", "label", "dialog"}
 _CLOSES_P = {"p", "li", "td", "tr", "div", "h1", "h2", "h3", "h4", "ul", "ol", "table", "section", "aside", "blockquote", "pre", "footer", "nav", "main", "article", "form"}
 
@@ -57,6 +76,7 @@ _A_CLOSE = re.compile(r"</a\s*>", re.I)
 _BR = re.compile(r"</?br\b[^>]*>", re.I)
 _OTHER_INLINE = re.compile(rf"</?(?:{INLINE})(?:\s[^>]*)?/?>", re.I)
 _SPLIT = re.compile(r"(<[a-zA-Z/!?][^>]*>)")
+_LINK_MARK = re.compile("([\x01\x02])")
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9]*")
 _OPEN, _CLOSE = "\x01", "\x02"
 _MARKS = re.compile("[\x01\x02]")
@@ -99,7 +119,7 @@ def visible_blocks(page: str) -> tuple[list[str], list[tuple], list[int]]:
             t = _html.unescape(piece) if "&" in piece else piece
             n_linked = 0
             if linked or _OPEN in t or _CLOSE in t:
-                for j, run in enumerate(re.split("([\x01\x02])", t)):
+                for j, run in enumerate(_LINK_MARK.split(t)):
                     if j & 1:
                         linked = run == _OPEN
                     elif linked:
@@ -129,9 +149,9 @@ def _costs(texts: list[str], chains: list[tuple], links: list[int]) -> tuple[lis
         weight: dict[int, int] = {}
         for i in range(n):
             parent = chains[i][-2][0] if len(chains[i]) > 1 else 0
-            if (len(texts[i]) < 240 and _SEGMENT.search(texts[i])) or (_HOME.search(texts[i]) and texts[i].count(" ") < 2):
+            if _wording(texts[i]) == 2 or (_HOME.search(texts[i]) and texts[i].count(" ") < 2):
                 weight[parent] = -(10**9)
-            elif own[i][1] not in ("li", "td") and not links[i] and " › " not in texts[i] and not (len(texts[i]) < 240 and _FURNITURE.search(texts[i])) and not any(e[1] in _NAV_TAGS for e in chains[i]):
+            elif own[i][1] not in ("li", "td") and not links[i] and " › " not in texts[i] and not _wording(texts[i]) and not any(e[1] in _NAV_TAGS for e in chains[i]):
                 weight[parent] = weight.get(parent, 0) + len(texts[i])
         best = max(weight, key=weight.get, default=0)
         if weight.get(best, 0) <= 0:
@@ -174,15 +194,16 @@ def _costs(texts: list[str], chains: list[tuple], links: list[int]) -> tuple[lis
         for _, name, attrs in outer:
             if name in _NAV_TAGS:
                 s -= 4.0
-            if attrs and _ATTR.search(attrs):
+            if attrs and _attributes(attrs):
                 s -= 3.0
             if name in ("section", "div") and len(outer) > 1 and tag not in ("li", "td"):
                 s -= 1.0
         if links[i] * 10 >= len(t) * 6:
             s -= 2.0 if tag in ("p", "div") or not inside else 0.5
-        if len(t) < 240 and _FURNITURE.search(t):
+        said = _wording(t)
+        if said:
             s -= 9.0
-            if _SEGMENT.search(t) and len(outer) > 1:
+            if said == 2 and len(outer) > 1:
                 fixed[seg] = fixed.get(seg, 0.0) - 5.0
         if " › " in t:
             s -= 6.0

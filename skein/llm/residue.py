@@ -75,6 +75,9 @@ _LOREM = {w[:k] for w in LOREM.split() for k in range(min(4, len(w)), len(w) + 1
 _MESSAGE = re.compile(r"(?:" + "|".join(f"(?:{m})" for m in MESSAGES) + r")", re.I)
 _SLOT = re.compile("|".join(SLOTS))
 _STEM = re.compile(STEMS, re.I)
+#: Every slot holds one of these, and every filler text one of those.
+_SLOT_HINT = re.compile(r"[{%<@$\[]|__|undefined|NaN|null|None")
+_FILLER_HINT = ("lorem", "ipsum", "dolor", "amet", "elit", "tempor", "magna", "aliqua", "veniam", "venia", "quis", "nulla", "irur", "volup", "sint", "enim", "labor")
 _WORD = re.compile(r"[^\W\d_]+")
 _DATE = re.compile(r"\b\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d(?::\d\d)?)?\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b")
 _ADDRESS = re.compile(r"\bhttps?://\S+|\b[\w.+-]+@[\w-]+\.[\w.]+|\b\d{1,3}(?:\.\d{1,3}){3}\b")
@@ -93,13 +96,16 @@ def masked(text: str) -> str:
 
 def is_filler(text: str) -> bool:
     """Five words or more, most of them of the usual pseudo-Latin."""
-    words = _WORD.findall(text.lower())
+    low = text.lower()
+    if not any(h in low for h in _FILLER_HINT):
+        return False
+    words = _WORD.findall(low)
     return len(words) >= 5 and sum(w in _LOREM for w in words) * 10 >= len(words) * 6
 
 
 def has_slot(text: str) -> bool:
     """An unfilled slot or a leaked program value."""
-    return _SLOT.search(text) is not None
+    return _SLOT_HINT.search(text) is not None and _SLOT.search(text) is not None
 
 
 def is_message(mask: str) -> bool:
