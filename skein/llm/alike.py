@@ -3,9 +3,11 @@
 Documents with the same set collapse to one class first.  Regions of the join
 are ranges of the hashes of shingles: a class is replicated to the regions of
 its prefix, the shingles of which a partner at the threshold must share at least
-one, rarest first.  Within a region, pairs are cut down by size and by position
-(both are bounds of the same distance), and what is left is verified on the
-whole sets.
+one, rarest first.  A first pass over the regions counts how many classes have a
+shingle, so that prefixes leave out what is unique and begin with what is rare.
+Matches of prefixes are summed over the regions; pairs whose sizes, matches and
+places bound the distance above the threshold fall away, and what is left is
+verified on the whole sets.
 
 Why no pivots of Voronoi regions: at a distance of at most one half, twice the
 radius is the diameter of the Jaccard space, so that the triangle inequality
@@ -25,14 +27,10 @@ from pyspark.sql import functions as F
 
 from skein.shared import written
 
-#: Entries (8 bytes each) that one region should hold.
-REGION_ENTRIES = 400_000
-#: Frequent shingles listed to order prefixes (8 bytes each); the order changes the work, never the result.
-LISTED_SHINGLES = 60_000
-#: How often a shingle must occur in one partition to be counted as frequent.
-LOCALLY_FREQUENT = 3
+#: Hashes (6 to 8 bytes each) that one region should hold.
+REGION_ENTRIES = 1_500_000
 #: Pairs generated at a time within a region.
-PAIR_CHUNK = 2_000_000
+PAIR_CHUNK = 1_000_000
 
 _WIDTH = 6  # bytes of a stored hash: a false match within a pair of 1000-shingle texts has a chance below 1e-8
 
@@ -55,139 +53,170 @@ def class_key(blob: bytes) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(blob))))
 
 
-def _frequent(docs: DataFrame) -> np.ndarray:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        held: list[np.ndarray] = []
-        for b in batches:
-            for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if k not in seen:
-                    seen.add(k)
-                    held.append(unpack(s))
-            if sum(map(len, held)) > 4_000_000:
-                yield from _counted(held)
-                held = []
-        if held:
-            yield from _counted(held)
-
-    rows = docs.select("ck", "sets").mapInArrow(count, "h bigint, n bigint")
-    top = rows.groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(LISTED_SHINGLES).collect()
-    top.sort(key=lambda r: (r["n"], r["h"]))
-    return np.array([r["h"] for r in top], dtype=np.uint64)
-
+def _by_region(key: np.ndarray, doc: np.ndarray, ck: np.ndarray, size: np.ndarray, n_regions: int, *more: np.ndarray) -> pa.RecordBatch:
+    """One row per region: its classes with their sizes, and the entries (hash, class, ...) in it."""
+    # 24 bits choose the region, the 24 others and 8 of the first are compared: equal hashes stay equal.
+    region = ((key >> np.uint64(24)) * np.uint64(n_regions)) >> np.uint64(24)
+    order = np.argsort(region, kind="stable")
+    region, key, doc, more = region[order], key[order], doc[order], [x[order] for x in more]
+    bounds = np.searchsorted(region, np.arange(n_regions + 1, dtype=np.uint64))
+    out: list[list] = [[] for _ in range(5 + len(more))]
+    for r in np.flatnonzero(np.diff(bounds)):
+        lo, hi = bounds[r], bounds[r + 1]
+        used, local = np.unique(doc[lo:hi], return_inverse=True)
+        row = (int(r), ck[used].tobytes(), size[used].tobytes(), (key[lo:hi] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), local.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes(), *(x[lo:hi].tobytes() for x in more))
+        for column, x in zip(out, row):
+            column.append(x)
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["r", "ck", "size", "h", "d", *"xyz"[: len(more)]])
+
+
+def _gather(rows: list[tuple]) -> tuple[np.ndarray, ...]:
+    """Entries of one region or bucket from its rows: class, size, hash, and what else the rows have."""
+    base, ck, size, h, d, more = 0, [], [], [], [], []
+    for k, s, hh, dd, *rest in rows:
+        ck.append(np.frombuffer(k, np.int64))
+        size.append(np.frombuffer(s, np.int32))
+        h.append(np.frombuffer(hh, np.uint32))
+        d.append(np.frombuffer(dd, np.uint16 if len(ck[-1]) < 65536 else np.uint32).astype(np.int64) + base)
+        more.append([np.frombuffer(x, np.uint16) for x in rest])
+        base += len(ck[-1])
+    d = np.concatenate(d)
+    return np.concatenate(ck)[d], np.concatenate(size)[d], np.concatenate(h), *(np.concatenate(x) for x in zip(*more))
+
+
+def _per_group(work):
+    """Call ``work(group, rows)`` for the rows of each value of the first column, which come together."""
 
-def _counted(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    h, n = np.unique(np.concatenate(held), return_counts=True)
-    keep = n >= LOCALLY_FREQUENT
-    yield pa.RecordBatch.from_arrays([pa.array(h[keep].astype(np.int64)), pa.array(n[keep].astype(np.int64))], names=["h", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, rows = None, []
+        for batch in batches:
+            for r, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if r != current and rows:
+                    yield from work(current, rows)
+                    rows = []
+                current = r
+                rows.append(tuple(row))
+        if rows:
+            yield from work(current, rows)
 
+    return run
 
-def _prefixes(frequent: np.ndarray, n_regions: int, threshold: float):
-    by_value = np.argsort(frequent)
-    listed = frequent[by_value]
 
+def _sets_by_region(n_regions: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            keys, sizes, hashes, docs, places = [], [], [], [], []
+            keys, sets = [], []
             for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if k in seen:
-                    continue  # copies collapse before anything is shuffled
-                seen.add(k)
-                h = unpack(s)
-                n = len(h)
-                need = int(np.ceil(threshold * n - 1e-9))
-                rank = np.zeros(n, np.int64)
-                if len(listed):
-                    at = np.minimum(np.searchsorted(listed, h), len(listed) - 1)
-                    hit = listed[at] == h
-                    rank[hit] = by_value[at[hit]] + 1
-                order = np.argsort(rank, kind="stable")[: n - need + 1]
-                hashes.append(h[order])
-                docs.append(np.full(len(order), len(keys), np.uint16))
-                places.append(np.minimum(np.arange(len(order)), 65535).astype(np.uint16))
-                keys.append(k)
-                sizes.append(n)
-                if len(keys) == 20_000:
-                    yield _regions(keys, sizes, hashes, docs, places, n_regions)
-                    keys, sizes, hashes, docs, places = [], [], [], [], []
+                if k not in seen:  # copies collapse before anything is shuffled
+                    seen.add(k)
+                    keys.append(k)
+                    sets.append(unpack(s))
             if keys:
-                yield _regions(keys, sizes, hashes, docs, places, n_regions)
+                size = np.array([len(s) for s in sets], np.int32)
+                yield _by_region(np.concatenate(sets), np.repeat(np.arange(len(keys)), size), np.array(keys, np.int64), size, n_regions)
 
     return emit
 
 
-def _regions(keys: list, sizes: list, hashes: list, docs: list, places: list, n_regions: int) -> pa.RecordBatch:
-    """One row per region: its classes, and for each entry the hash, the class and the place in its prefix."""
-    h, d, p = np.concatenate(hashes), np.concatenate(docs), np.concatenate(places)
-    # 24 bits choose the region, 32 others are compared: equal hashes stay equal.
-    region = ((h >> np.uint64(24)) * np.uint64(n_regions)) >> np.uint64(24)
-    order = np.argsort(region, kind="stable")
-    region, h, d, p = region[order], h[order], d[order], p[order]
-    ck, size = np.array(keys, np.int64), np.array(sizes, np.int32)
-    bounds = np.searchsorted(region, np.arange(n_regions + 1, dtype=np.uint64))
-    out: list[list] = [[] for _ in range(6)]
-    for r in range(n_regions):
-        lo, hi = bounds[r], bounds[r + 1]
-        if lo < hi:
-            used, local = np.unique(d[lo:hi], return_inverse=True)
-            row = (r, ck[used].tobytes(), size[used].tobytes(), (h[lo:hi] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), local.astype(np.uint16).tobytes(), p[lo:hi].tobytes())
+def _shared(n_buckets: int):
+    """Entries of a region that more than one class has, with how many, by bucket of the class."""
+
+    def work(region: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ck, size, h = _gather(rows)
+        order = np.lexsort((ck, h))
+        ck, size, h = ck[order], size[order], h[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (ck[1:] != ck[:-1])])
+        ck, size, h = ck[new], size[new], h[new]  # a class may come from several partitions
+        start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        count = np.diff(np.append(start, len(h)))
+        df = np.repeat(count, count)
+        keep = df > 1
+        ck, size, h, df = ck[keep], size[keep], h[keep], np.minimum(df[keep], 65535).astype(np.uint16)
+        bucket = (ck.view(np.uint64) >> np.uint64(32)) % np.uint64(n_buckets)
+        out: list[list] = [[] for _ in range(6)]
+        for c in np.unique(bucket):
+            at = np.flatnonzero(bucket == c)
+            used, first, local = np.unique(ck[at], return_index=True, return_inverse=True)
+            row = (int(c), used.tobytes(), size[at][first].tobytes(), h[at].tobytes(), local.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes(), df[at].tobytes())
+            for column, x in zip(out, row):
+                column.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array([region] * len(out[0]), pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["c", "r", "ck", "size", "h", "d", "df"])
+
+    return _per_group(work)
+
+
+def _prefixes(n_regions: int, threshold: float):
+    """The part of each class's prefix that other classes share, rarest first, back to the regions."""
+
+    def work(_: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ck, size, h, df = _gather([row[1:] for row in rows])
+        region = np.concatenate([np.full(len(row[3]) // 4, row[0], np.uint64) for row in rows])
+        order = np.lexsort((h, region, df, ck))
+        ck, size, h, region = ck[order], size[order].astype(np.int64), h[order], region[order]
+        start = np.flatnonzero(np.concatenate([[True], ck[1:] != ck[:-1]]))
+        length = np.diff(np.append(start, len(ck)))
+        place = np.arange(len(ck)) - np.repeat(start, length) + (size - np.repeat(length, length))  # behind what only this class has
+        keep = place < size - np.ceil(threshold * size - 1e-9) + 1
+        ck, size, h, region, place = ck[keep], size[keep], h[keep], region[keep], place[keep]
+        if not len(ck):
+            return
+        used, first, local = np.unique(ck, return_index=True, return_inverse=True)
+        out: list[list] = [[] for _ in range(6)]
+        for r in np.unique(region):
+            at = np.flatnonzero(region == r)
+            u, l2 = np.unique(local[at], return_inverse=True)
+            row = (int(r), used[u].tobytes(), size[first][u].astype(np.int32).tobytes(), h[at].tobytes(), l2.astype(np.uint16 if len(u) < 65536 else np.uint32).tobytes(), np.minimum(place[at], 65535).astype(np.uint16).tobytes())
             for column, x in zip(out, row):
                 column.append(x)
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["r", "ck", "size", "h", "d", "p"])
-
-
-def _candidates(threshold: float):
-    def region_pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        base, ck, size, h, d, p = 0, [], [], [], [], []
-        for k, s, hh, dd, pp in rows:
-            ck.append(np.frombuffer(k, np.int64))
-            size.append(np.frombuffer(s, np.int32))
-            h.append(np.frombuffer(hh, np.uint32))
-            d.append(np.frombuffer(dd, np.uint16).astype(np.int64) + base)
-            p.append(np.frombuffer(pp, np.uint16))
-            base += len(ck[-1])
-        ck, size, h, d, p = map(np.concatenate, (ck, size, h, d, p))
-        key, size = ck[d], size[d].astype(np.int64)
-        # By hash, then by size: partners of an entry follow it, up to its size over the threshold.
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["r", "ck", "size", "h", "d", "p"])
+
+    return _per_group(work)
+
+
+def _matches(threshold: float):
+    """Matches of prefixes within a region: for each pair how many, and the furthest places."""
+
+    def work(_: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        key, size, h, p = _gather(rows)
+        # By hash, then by size: the larger partners of an entry follow it.
         order = np.lexsort((size, h))
-        h, key, size, p = h[order], key[order], size[order], p[order].astype(np.int64)
-        end = np.searchsorted(h, h, side="right")
-        fan = end - np.arange(len(h)) - 1
-        start = 0
-        found: list[np.ndarray] = []
+        key, size, h, p = key[order], size[order].astype(np.int64), h[order], p[order].astype(np.int32)
+        classes, key = np.unique(key, return_inverse=True)
+        fan = np.searchsorted(h, h, side="right") - np.arange(len(h)) - 1
+        start, held = 0, []
         while start < len(h):
             total = np.cumsum(fan[start : start + 500_000])
             stop = start + max(1, int(np.searchsorted(total, PAIR_CHUNK, side="right")))
             f = fan[start:stop]
             left = np.repeat(np.arange(start, stop), f)
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(f) - f, f)
-            a, b = size[left], size[right]
-            need = np.ceil((a + b) * (threshold / (1 + threshold)) - 1e-9)
-            ok = (b * threshold <= a + 1e-9) & (np.minimum(a - p[left], b - p[right]) >= need) & (key[left] != key[right])
+            ok = (size[right] * threshold <= size[left] + 1e-9) & (key[left] != key[right])
             left, right = left[ok], right[ok]
-            if len(left):
-                pairs = np.stack([np.minimum(key[left], key[right]), np.maximum(key[left], key[right])], axis=1)
-                found.append(np.unique(pairs, axis=0))
+            swap = key[left] > key[right]
+            a, b = np.where(swap, right, left), np.where(swap, left, right)
+            held.append(_summed(key[a] * len(classes) + key[b], np.ones(len(a), np.int32), p[a], p[b], size[a], size[b]))
+            if sum(len(x[0]) for x in held) > 4 * PAIR_CHUNK:
+                held = [_summed(*(np.concatenate(x) for x in zip(*held)))]
             start = stop
-        if found:
-            pairs = np.unique(np.concatenate(found), axis=0)
-            for lo in range(0, len(pairs), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[lo : lo + 200_000, 0]), pa.array(pairs[lo : lo + 200_000, 1])], names=["a", "b"])
+        pair, m, pa_, pb, na, nb = _summed(*(np.concatenate(x) for x in zip(*held)))
+        for lo in range(0, len(pair), 200_000):
+            s = slice(lo, lo + 200_000)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(classes[pair[s] // len(classes)]), pa.array(classes[pair[s] % len(classes)]), *(pa.array(x[s].astype(np.int32)) for x in (m, pa_, pb, na, nb))],
+                names=["a", "b", "m", "pa", "pb", "na", "nb"],
+            )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, rows = None, []
-        for batch in batches:
-            for r, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if r != current and rows:
-                    yield from region_pairs(rows)
-                    rows = []
-                current = r
-                rows.append(tuple(row))
-        if rows:
-            yield from region_pairs(rows)
+    return _per_group(work)
 
-    return run
+
+def _summed(pair: np.ndarray, m: np.ndarray, pa_: np.ndarray, pb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, ...]:
+    if not len(pair):
+        return pair, m, pa_, pb, na, nb
+    order = np.argsort(pair, kind="stable")
+    pair, m, pa_, pb, na, nb = (x[order] for x in (pair, m, pa_, pb, na, nb))
+    start = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    return pair[start], np.add.reduceat(m, start), np.maximum.reduceat(pa_, start), np.maximum.reduceat(pb, start), na[start], nb[start]
 
 
 def _verified(threshold: float):
@@ -211,13 +240,21 @@ def alike_classes(docs: DataFrame, threshold: float) -> DataFrame:
     ``docs`` is a written table with ``ck`` (class key) and ``sets`` (packed
     hashes); rows of one class count once, empty sets belong to no pair.
     """
-    entries = docs.agg(F.coalesce(F.sum(F.length("sets")), F.lit(0))).first()[0] / _WIDTH * (1 - threshold)
-    n_regions = int(max(8, min(60_000, -(-entries // REGION_ENTRIES))))
-    spark = docs.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("ck", "sets").mapInArrow(_prefixes(_frequent(docs), n_regions, threshold), "r int, ck binary, size binary, h binary, d binary, p binary")
-    regions = rows.repartition(max(width, n_regions // 4), "r").sortWithinPartitions("r")
-    pairs = written(regions.mapInArrow(_candidates(threshold), "a bigint, b bigint").distinct(), "candidates")
+    entries = docs.agg(F.coalesce(F.sum(F.length("sets")), F.lit(0))).first()[0] // _WIDTH
+    n_regions = int(max(12, min(60_000, -(-entries // REGION_ENTRIES))))
+    width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_regions)
+    blobs = "ck binary, size binary, h binary, d binary"
+    grouped = lambda df, by: df.repartition(width, by).sortWithinPartitions(by)
+    regions = docs.select("ck", "sets").mapInArrow(_sets_by_region(n_regions), f"r int, {blobs}")
+    shared = grouped(regions, "r").mapInArrow(_shared(n_regions), f"c int, r int, {blobs}, df binary")
+    prefixes = grouped(shared, "c").mapInArrow(_prefixes(n_regions, threshold), f"r int, {blobs}, p binary")
+    matches = grouped(prefixes, "r").mapInArrow(_matches(threshold), "a bigint, b bigint, m int, pa int, pb int, na int, nb int")
+    both = matches.groupBy("a", "b").agg(F.sum("m").alias("m"), *[F.max(c).alias(c) for c in ("pa", "pb", "na", "nb")])
+    # What is not matched yet lies behind the last match and behind the prefix that ends first.
+    after = lambda n: F.ceil(F.col(n) * threshold - 1e-9) - 1
+    rest = F.greatest(F.least(after("na"), F.col("nb") - 1 - F.col("pb")), F.least(after("nb"), F.col("na") - 1 - F.col("pa")))
+    enough = F.col("m") + F.when((F.col("pa") < 65535) & (F.col("pb") < 65535), rest).otherwise(F.least("na", "nb")) >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-6
+    pairs = written(both.where(enough).select("a", "b"), "candidates")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("ck")).distinct()
     few = needed.count() <= 200_000
     sets = docs.select("ck", "sets").join(F.broadcast(needed) if few else needed, "ck", "left_semi").dropDuplicates(["ck"])
