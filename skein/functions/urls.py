@@ -9,6 +9,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 # What may not be fetched.
 BLOCKED_HOSTS = ["localhost", "127.0.0.1", "0.0.0.0", "169.254.169.254", "169.254.169.253", "::1", "[::1]", "metadata.google.internal", "metadata.goog"]
@@ -75,7 +76,7 @@ def _private(host: str) -> bool:
     return ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_multicast or ip.is_reserved or ip.is_unspecified
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _private_v6(hosts: pd.Series) -> pd.Series:
     return hosts.map(lambda h: h is not None and _private(h))
 
@@ -94,7 +95,7 @@ def is_url_safe(url: Column, python_v6: bool = True) -> Column:
     return F.coalesce(url.rlike(r"(?i)^https?://") & host.isNotNull() & ~host.isin(*BLOCKED_HOSTS) & ~is_private_v4(host) & ~v6 & ~F.coalesce(port.isin(*BLOCKED_PORTS), F.lit(False)), F.lit(False))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _urljoin(base: pd.Series, ref: pd.Series) -> pd.Series:
     out = []
     for b, r in zip(base, ref):
