@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.shared import written
+
 #: Reviewed documents to fit on, at most (chosen by a hash of the id).
 SAMPLE_DOCS = 20_000
 #: Character n-grams of the language model, the most frequent ones.
@@ -33,7 +35,7 @@ WINDOW = 14
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "€": "e", "+": "t", "£": "l"}
 LOOKALIKES = dict(zip("аеорсухіјѕԁһԛԝвмнтклгАВЕКМНОРСТХІЈЅ", "aeopcyxijsdhqwbmhtklrABEKMHOPCTXIJS"))
 SEEDS = (
-    "idiot idiots moron morons imbecile asshole bullshit scum wanker bastard bitch fuck fucking shit loser trash pathetic disgusting stupid crap cunt slut whore "
+    "idiot idiots moron morons imbecile cretin dickhead brainless spineless asshole bullshit scum wanker bastard bitch fuck fucking shit loser trash pathetic disgusting stupid crap cunt slut whore "
     "retarded vermin subhuman parasites filthy deport criminals thief porn porno nude naked xxx horny undress escorts sex tape cams "
     "idiot vollidiot arschloch fresse drecksack drecksvolk ungeziefer abschaum schlampe hurensohn wichser pornos nackte nackt "
     "imbécil cabrón mierda cállate idiota puta gilipollas basura plaga desnudas porno ratas "
@@ -203,10 +205,14 @@ def fit(docs: list[tuple[list[list[str]], bool]], rounds: int = 4, steps: int =
     it) is taken for bad; verdicts that disagree with it count less.
     """
     count: Counter[str] = Counter()
+    in_bad: Counter[str] = Counter()
     rows: list[tuple[int, list[str]]] = []
-    for d, (passages, _) in enumerate(docs):
+    for d, (passages, verdict) in enumerate(docs):
         features = [_features(p) for p in passages]
-        count.update({f for fs in features for f in fs})
+        some = {f for fs in features for f in fs}
+        count.update(some)
+        if verdict:
+            in_bad.update(some)
         rows += [(d, fs) for fs in features]
     vocabulary = {f: k for k, f in enumerate(sorted(f for f, n in count.items() if n >= 3 or f == "\0seed"))}
     prior = np.zeros(len(vocabulary))
@@ -214,6 +220,11 @@ def fit(docs: list[tuple[list[list[str]], bool]], rounds: int = 4, steps: int =
         prior[vocabulary["\0seed"]] = 3.0
     for word in _SEEDS & vocabulary.keys():
         prior[vocabulary[word]] = 1.0
+    # What occurs in bad documents many times as often as in clean ones weighs from the beginning.
+    n_bad = sum(b for _, b in docs)
+    for f, n in in_bad.items():
+        if n >= 4 and f in vocabulary and f != "\0seed" and math.log((n + 0.5) / (n_bad + 1) * (len(docs) - n_bad + 1) / (count[f] - n + 0.5)) >= 2.7:
+            prior[vocabulary[f]] = max(prior[vocabulary[f]], 1.0)
     r = np.array([k for k, (_, f) in enumerate(rows) for x in f if x in vocabulary], np.int64)
     c = np.array([vocabulary[x] for _, f in rows for x in f if x in vocabulary], np.int64)
     of = np.array([d for d, _ in rows], np.int64)
@@ -226,56 +237,51 @@ def fit(docs: list[tuple[list[list[str]], bool]], rounds: int = 4, steps: int =
         np.maximum.at(worst, of, z)
         target = bad[of] & (z >= worst[of] - 1e-9)
         # Verdicts that the model contradicts are likely wrong; what no seed points at waits for the second turn.
-        weight = np.where(target, np.where(z > (-2.5 if turn == 0 else -1.5), 1.0, 0.0 if turn in (0, rounds - 1) else 0.15), np.where(bad[of], np.where(z < -2.0, 1.0, 0.0), np.where((z > 2.0) & (turn > 0), 0.3, 1.0)))
+        weight = np.where(target, np.where(z > (-2.5 if turn == 0 else -2.0 if turn == rounds - 1 else -1.5), 1.0, 0.0 if turn in (0, rounds - 1) else 0.15), np.where(bad[of], np.where(z < -2.0, 1.0, 0.0), np.where((z > 2.0) & (turn > 0), 0.3, 1.0)))
         y, g1, g2 = target.astype(float), np.full(len(weights), 1e-6), 1e-6
         weight = weight * np.where(target, 2.0, 1.0)
         for _ in range(steps):
             z = bias + np.bincount(r, weights[c], minlength=n)
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-            grad = np.bincount(c, err[r], minlength=len(weights)) + 1.5 * (weights - prior)
+            grad = np.bincount(c, err[r], minlength=len(weights)) + 1.2 * (weights - prior)
             g1 += grad * grad
             weights -= 0.4 * grad / np.sqrt(g1)
             gb = err.sum()
             g2 += gb * gb
             bias -= 0.3 * gb / math.sqrt(g2)
-    return PassageModel({f: float(weights[k]) for f, k in vocabulary.items() if abs(weights[k]) > 1e-3}, float(bias), 0.3)
+    return PassageModel({f: float(weights[k]) for f, k in vocabulary.items() if abs(weights[k]) > 1e-3}, float(bias), 0.0)
 
 
 def _passages(text: str) -> list[str]:
     return [p for p in _PASSAGE.split(text) if p and not p.isspace()]
 
 
-def char_model(docs: DataFrame, text: str = "text") -> CharModel:
-    """Character model of the words of all documents."""
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Words of all documents in lower case with their counts, written once: ``(w, n)``."""
+    words = docs.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("w")).where(F.length("w") > 1)
+    return written(words.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "words")
+
+
+def char_model(words: DataFrame) -> CharModel:
+    """Character model of the words of all documents; words of two alphabets and stretched ones teach nothing."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter[str] = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                words.update(w for w in re.findall(r"[^\W\d_]{2,}", t.lower()) if not (_LATIN.search(w) and _CYRILLIC.search(w)) and not _STRETCH.search(w))
-            if len(words) > 500_000:
-                yield _gram_rows(words)
-                words.clear()
-        if words:
-            yield _gram_rows(words)
-
-    grams = docs.select(F.col(text).alias("t")).where(F.col("t").isNotNull()).mapInArrow(count, "g string, n bigint")
+            grams: Counter[str] = Counter()
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if not (_LATIN.search(w) and _CYRILLIC.search(w)) and not _STRETCH.search(w):
+                    for g in _grams(w):
+                        grams[g] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["g", "n"])
+
+    grams = words.mapInArrow(count, "g string, n bigint")
     rows = grams.groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(MODEL_GRAMS).collect()
     return CharModel({r["g"]: r["n"] for r in rows})
 
 
-def _gram_rows(words: Counter[str]) -> pa.RecordBatch:
-    grams: Counter[str] = Counter()
-    for w, n in words.items():
-        for g in _grams(w):
-            grams[g] += n
-    return pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["g", "n"])
-
-
-def frequent_words(docs: DataFrame, text: str = "text", least: int = 30, most: int = 50_000) -> frozenset[str]:
+def frequent_words(words: DataFrame, least: int = 30, most: int = 50_000) -> frozenset[str]:
     """Words so frequent in the corpus that they need no restoring."""
-    words = docs.select(F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("w")).where(F.length("w") > 1)
-    return frozenset(r["w"] for r in words.groupBy("w").count().where(F.col("count") >= least).orderBy(F.desc("count"), "w").limit(most).collect())
+    return frozenset(r["w"] for r in words.where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(most).collect())
 
 
 def passage_model(docs: DataFrame, labels: DataFrame, chars: CharModel, known: frozenset[str], *, key: str = "doc_id", text: str = "text", verdict: str = "verdict", sample: int = SAMPLE_DOCS) -> PassageModel:
@@ -294,8 +300,8 @@ def scored_documents(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id",
     model's threshold are flagged.  Whole texts are read.  Null and empty texts score -20.  A
     repeated row gives a repeated row.  Without labels only the seed words weigh.
     """
-    chars = char_model(docs, text)
-    known = frequent_words(docs, text)
+    words = word_counts(docs, text)
+    chars, known = char_model(words), frequent_words(words)
     model = passage_model(docs, labels, chars, known, key=key, text=text, sample=sample)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((dict(chars.counts), chars.letters, known, model.weights, model.bias, model.threshold))
