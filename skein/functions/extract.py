@@ -64,7 +64,8 @@ def phones(c: Column) -> Column:
 def prices(c: Column) -> Column:
     """``array<struct<value, currency, original>>`` in order of pattern and place, each value once."""
     text = F.coalesce(c, F.lit(""))
-    per = [F.transform(all_matches(text, "(?i)" + p), lambda x, cur=cur: F.struct(F.trim(F.regexp_replace(x, r"\s+", " ")).alias("value"), F.lit(cur).alias("currency"), x.alias("original"))) for p, cur in PRICES]
+    found = lambda currency: lambda x: F.struct(F.trim(F.regexp_replace(x, r"\s+", " ")).alias("value"), F.lit(currency).alias("currency"), x.alias("original"))
+    per = [F.transform(all_matches(text, "(?i)" + p), found(currency)) for p, currency in PRICES]
     every = F.filter(F.flatten(F.array(*per)), lambda s: F.length(s["value"]) >= 2)
     return F.filter(every, lambda s, i: F.array_position(F.transform(every, lambda t: t["value"]), s["value"]) == i + 1)
 
