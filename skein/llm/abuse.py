@@ -45,8 +45,9 @@ SEEDS = (
 # --- end of fixed values --------------------------------------------------------------------------
 
 _SEEDS = frozenset(SEEDS.split())
+_REVERSED = {b: a for a, b in LOOKALIKES.items() if b.islower() and a not in "мнтклгв"}
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
-_SPACED = re.compile(r"(?<![\w*])(?:[^\W_]([ .\-_·/]))(?:[^\W_]\1){2,}[^\W_](?![\w*])")
+_SPACED = re.compile(r"(?<![\w*])(?:[^\W_]([ .\-_·/]))(?:[^\W_]\1){2,}[^\W_](?![\w*]|[.\-_·/]\w)")
 _TOKEN = re.compile(r"[\w*@$€£'’]+(?:[!|+][\w*@$€£]+)*", re.U)
 _PASSAGE = re.compile(r"(?<=[.!?…])[\s]+|\n\s*\n|\n(?=\s*[->\d•*])")
 _STRETCH = re.compile(r"(.)\1{2,}")
@@ -83,8 +84,13 @@ class CharModel:
         return -14.0 + penalty
 
     def restore(self, token: str) -> str:
-        """Most likely reading of a disguised token."""
-        cyrillic = len(_CYRILLIC.findall(token)) > len(_LATIN.findall(token))
+        """Most likely reading of a disguised token, in the alphabet that fits better if it has two."""
+        latin, cyrillic = _LATIN.search(token), _CYRILLIC.search(token)
+        if latin and cyrillic:
+            return max(self._read(token, False), self._read(token, True))[1]
+        return self._read(token, bool(cyrillic))[1]
+
+    def _read(self, token: str, cyrillic: bool) -> tuple[float, str]:
         beam: dict[str, tuple[float, str]] = {"^" * (ORDER - 1): (0.0, "")}
         k = 0
         while k < len(token):
@@ -102,6 +108,8 @@ class CharModel:
                 options = [(x, -0.7) for x in single] if single else []
                 if c in LOOKALIKES and not cyrillic:
                     options.append((LOOKALIKES[c].lower(), -0.3))
+                elif c in _REVERSED and cyrillic:
+                    options.append((_REVERSED[c], -0.3))
                 elif c.isalpha():
                     options.append((c, 0.0))
                 if not options:
@@ -115,7 +123,7 @@ class CharModel:
             score += self.log(context, "$")
             if score > best:
                 best, text = score, read
-        return text
+        return best, text
 
     def _wild(self, cyrillic: bool) -> list[str]:
         return [x for x in self.letters if bool(_CYRILLIC.match(x)) == cyrillic]

@@ -41,7 +41,7 @@ def canonical_address(url: Column) -> Column:
         lambda x: x != "=",
     )
     # The signs between parts can't occur within them.
-    return F.concat_ws(
+    text = F.concat_ws(
         "\n",
         F.concat(_bare(part(1)), F.lit(":")),
         F.concat(F.lit("//"), _bare(part(2))),
@@ -49,6 +49,7 @@ def canonical_address(url: Column) -> Column:
         F.concat(F.lit("?"), F.concat_ws("&", F.array_sort(params))),
         F.concat(F.lit("#"), _bare(part(5))),
     )
+    return F.when(url.isNotNull(), text)
 
 
 def formatting_copies(rows: DataFrame, *, key: str = "node_id", text: str = "url") -> DataFrame:
