@@ -65,6 +65,18 @@ def contacts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.concat_ws(",", "e").alias("emails"), F.concat_ws(",", "p").alias("phones"), F.concat_ws(",", F.transform("m", lambda x: F.concat_ws("=", x["currency"], x["value"]))).alias("prices"))
 
 
+def emails(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.concat_ws(",", extract.emails(F.col("text"))).alias("emails"))
+
+
+def phones(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.concat_ws(",", extract.phones(F.col("text"))).alias("phones"))
+
+
+def price_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.size(extract.prices(F.col("text"))).alias("n_prices"))
+
+
 def challenges(spark: SparkSession, d: str) -> DataFrame:
     rows = _responses(spark, d)
     return rows.groupBy(extract.challenge_kind(F.col("html"), F.col("status_code"), F.col("headers")).alias("challenge"), extract.captcha_kind(F.col("html"))["captcha_type"].alias("captcha")).agg(F.count(F.lit(1)).alias("n"))
@@ -139,7 +151,7 @@ def sitemap_links(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (url_functions, domain_histogram, domain_depth_rollup, link_counts, page_link_pairs, page_metadata, page_text_hash, contacts, challenges, response_flags, cache_keys, filters, rule_match, link_kinds, crawl_expansion, sitemap_links)
+    for f in (url_functions, domain_histogram, domain_depth_rollup, link_counts, page_link_pairs, page_metadata, page_text_hash, contacts, emails, phones, price_counts, challenges, response_flags, cache_keys, filters, rule_match, link_kinds, crawl_expansion, sitemap_links)
 } | {
     "edge_strategy_all": _strategy("all"),
     "edge_strategy_max_in_degree": _strategy("max_in_degree", max_in_degree=25),
@@ -175,7 +187,24 @@ _RULE = "CASE WHEN regexp_matches(url, 'sitemap') THEN 0 WHEN regexp_matches(url
 _CAND = "c AS (SELECT (CAST(o_orderdate AS varchar), l_orderkey, l_linenumber, l_partkey) AS seq, 'c' || o_custkey AS source, 's' || l_suppkey AS target, l_linenumber AS source_depth, s_nationkey % 7 + 1 AS target_depth FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey)"
 _KEPT = "SELECT target, count(*) AS n_edges, count(DISTINCT source) AS n_sources FROM {0} GROUP BY 1"
 
+
+
+def _q(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_FOUND_PHONES = "list_concat(" * (len(extract.PHONES) - 1) + f"regexp_extract_all(text, {_q(extract.PHONES[0])})" + "".join(f", regexp_extract_all(text, {_q(p)}))" for p in extract.PHONES[1:])
+_FOUND_PRICES = "list_concat(" * (len(extract.PRICES) - 1) + f"regexp_extract_all(text, {_q('(?i)' + extract.PRICES[0][0])})" + "".join(f", regexp_extract_all(text, {_q('(?i)' + p)}))" for p, _ in extract.PRICES[1:])
+_HREF = """regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*(?:"([^"]*)"|''([^'']*)'')')"""
+
 SQL = {
+    "emails": f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, {_q(extract.EMAIL)}), lambda e: lower(e)), lambda e: NOT list_contains({extract.FAKE_DOMAINS}, regexp_extract(e, '@([^@]*)$', 1)) AND NOT regexp_matches(e, '\\.(png|jpg|jpeg|gif|svg|webp|ico)$')))), ',') AS emails FROM documents",
+    "phones": f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform({_FOUND_PHONES}, lambda x: regexp_replace(x, '[^0-9+]', '', 'g')), lambda x: length(replace(x, '+', '')) BETWEEN 10 AND 15 AND NOT regexp_matches(replace(x, '+', ''), '^(0+|1+)$')))), ',') AS phones FROM documents",
+    "price_counts": f"SELECT doc_id, CAST(len(list_distinct(list_filter(list_transform({_FOUND_PRICES}, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: length(x) >= 2))) AS integer) AS n_prices FROM documents",
+    "page_link_pairs": f"""WITH p AS (SELECT url, max(html) AS html FROM responses WHERE html IS NOT NULL GROUP BY 1), h AS (SELECT url, unnest(list_transform({_HREF}, lambda a: regexp_extract(a, '(?i)href\\s*=\\s*["'']([^"'']*)["'']$', 1))) AS href FROM p),
+t AS (SELECT url, regexp_replace(regexp_replace(CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]*)', 1) || replace(href, '&amp;', '&') ELSE replace(href, '&amp;', '&') END, '(?s)#.*$', ''), '[?;]$', '') AS target FROM h WHERE href <> '' AND NOT regexp_matches(href, '^(mailto:|javascript:|tel:|#|data:)'))
+SELECT url, target, count(*) AS n FROM t WHERE regexp_matches(target, '^https?://[^/?#]+') GROUP BY 1, 2""",
+    "sitemap_links": f"SELECT 'https://' || host || '/sitemap.xml' AS parent, 'url' AS child_kind, count(DISTINCT u) AS n FROM (SELECT {_dom('lower(url)')} AS host, regexp_replace(url, '^\\s+|\\s+$', '', 'g') AS u FROM nodes) WHERE host IS NOT NULL GROUP BY 1",
     "url_functions": f"SELECT node_id, regexp_replace(regexp_replace(url, '(?s)#.*$', ''), '[?;]$', '') AS normal, {_dom('url')} AS domain, {_root('url')} AS root_domain, coalesce(regexp_matches(url, '^https?://[^/?#]+'), false) AS valid, url AS sanitized FROM nodes",
     "domain_histogram": f"SELECT {_root('lower(url)')} AS domain, count(*) AS n FROM nodes GROUP BY 1",
     "domain_depth_rollup": f"SELECT domain, depth, count(*) AS n, count(*) FILTER (scanned) AS n_scanned, CAST(grouping(domain, depth) AS integer) AS level FROM (SELECT {_root('lower(url)')} AS domain, depth, scanned FROM nodes) GROUP BY ROLLUP (domain, depth)",
