@@ -99,7 +99,7 @@ def visible_blocks(page: str) -> tuple[list[str], list[tuple], list[int]]:
     for k, piece in enumerate(_SPLIT.split(page)):
         if k & 1:
             m = _NAME.search(piece)
-            if not m:
+            if not m or piece[1] in "!?":
                 continue
             name = m.group().lower()
             if piece[1] == "/":
@@ -151,7 +151,7 @@ def _costs(texts: list[str], chains: list[tuple], links: list[int]) -> tuple[lis
             parent = chains[i][-2][0] if len(chains[i]) > 1 else 0
             if _wording(texts[i]) == 2 or (_HOME.search(texts[i]) and texts[i].count(" ") < 2):
                 weight[parent] = -(10**9)
-            elif own[i][1] not in ("li", "td") and not links[i] and " › " not in texts[i] and not _wording(texts[i]) and not any(e[1] in _NAV_TAGS for e in chains[i]):
+            elif own[i][1] not in ("li", "td") and links[i] * 10 < len(texts[i]) * 6 and " › " not in texts[i] and not _wording(texts[i]) and not any(e[1] in _NAV_TAGS for e in chains[i]):
                 weight[parent] = weight.get(parent, 0) + len(texts[i])
         best = max(weight, key=weight.get, default=0)
         if weight.get(best, 0) <= 0:
