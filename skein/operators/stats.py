@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.shared import parts_for, written
 
+#: Pairs of ids that one task may join (some 250 bytes each in Python).
+FINISH_PAIRS = 500_000
+
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row of counts; parallel edges count, an empty graph has zeros."""
@@ -94,13 +100,36 @@ def depth_histogram(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("depth").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Least id of each component of the pairs of one task, by union-find."""
+    parent: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        top = x
+        while parent.setdefault(top, top) != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    names = list(parent)
+    if names:
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([root(x) for x in names], pa.string())], names=["a", "b"])
+
+
+def components(nodes: DataFrame, edges: DataFrame, *, finish_pairs: int = FINISH_PAIRS) -> DataFrame:
     """Weakly connected component of each node: ``(node_id, component)``, the least id in it.
 
     Edges with an unknown end are left out.  Labels spread by large-star and
     small-star turns, which need about the logarithm of a component's width in
     rounds and keep the edges within a constant of the node count; each round is
-    written to the shared folder.
+    written to the shared folder.  One task joins what is left once that is at
+    most ``finish_pairs`` pairs; the result does not depend on it.
     """
     known = nodes.select("node_id").distinct()
     pairs = edges.select(F.col("source_node_id").alias("a"), F.col("target_node_id").alias("b")).where("a != b").distinct()
@@ -109,7 +138,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     now = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
     before = None
     while True:
-        n = parts_for(now.count())
+        n_pairs = now.count()
+        if n_pairs <= finish_pairs:
+            now = now.repartition(1).mapInArrow(_joined, "a string, b string")
+            break
+        n = parts_for(n_pairs)
         # Large star: every greater neighbour of a node points to the least one around it.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

@@ -73,6 +73,17 @@ def test_edges_and_cycles(g1, spark):
     assert stats.graph_stats(g1.nodes.limit(0), g1.edges.limit(0)).first()["avg_depth"] == 0.0
 
 
+@pytest.mark.parametrize("finish", [10**6, 0])
+def test_components(spark, finish):
+    arcs = [("a", "b"), ("c", "b"), ("d", "e"), ("f", "f"), ("g", "lost"), ("h", "g")] + [(f"k{i}", f"k{i + 1}") for i in range(12)]
+    ids = sorted({x for a in arcs for x in a if x != "lost"} | {"z"})
+    n = spark.createDataFrame([(x,) for x in ids], "node_id string")
+    e = spark.createDataFrame(arcs, "source_node_id string, target_node_id string")
+    got = {r[0]: r[1] for r in stats.components(n, e, finish_pairs=finish).collect()}
+    want = dict.fromkeys("abc", "a") | dict.fromkeys("de", "d") | {"f": "f", "z": "z"} | dict.fromkeys("gh", "g") | {f"k{i}": "k0" for i in range(13)}
+    assert got == want
+
+
 def test_remove_and_redirect(g1, spark):
     r = g1.remove_nodes(spark.createDataFrame([("B",)], "node_id string"))
     assert urls(r) == {"A", "C", "D"} and arcs(r) == ["AC", "DD"]
