@@ -30,6 +30,8 @@ MODEL_GRAMS = 300_000
 ORDER = 4
 #: Words of a window within a long passage.
 WINDOW = 14
+#: A word needs no restoring from this share of all words on (and 30 uses), so that the same text decides the same way in a corpus of any size.
+KNOWN_SHARE = 2.9e-5
 
 # --- fixed values: what signs stand for, and words that weigh before any review is read -----------
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "€": "e", "+": "t", "£": "l"}
@@ -151,6 +153,11 @@ def _disguised(token: str) -> bool:
     return bool(_LATIN.search(token) and _CYRILLIC.search(token))
 
 
+def _odd(word: str) -> bool:
+    """A word of two alphabets, or a stretched one."""
+    return bool(_LATIN.search(word) and _CYRILLIC.search(word) or _STRETCH.search(word))
+
+
 def restored_words(text: str, model: CharModel, cache: dict[str, str], known: frozenset[str] = frozenset()) -> list[str]:
     """Words of a passage in lower case, disguises undone, numbers left out."""
     text = _HIDDEN.sub("", text)
@@ -277,7 +284,7 @@ def char_model(words: DataFrame) -> CharModel:
         for b in batches:
             grams: Counter[str] = Counter()
             for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if not (_LATIN.search(w) and _CYRILLIC.search(w)) and not _STRETCH.search(w):
+                if not _odd(w):
                     for g in _grams(w):
                         grams[g] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["g", "n"])
@@ -287,9 +294,15 @@ def char_model(words: DataFrame) -> CharModel:
     return CharModel({r["g"]: r["n"] for r in rows})
 
 
-def frequent_words(words: DataFrame, least: int = 30, most: int = 50_000) -> frozenset[str]:
-    """Words so frequent in the corpus that they need no restoring."""
-    return frozenset(r["w"] for r in words.where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(most).collect())
+def frequent_words(words: DataFrame, least: int = 30, share: float = KNOWN_SHARE) -> frozenset[str]:
+    """Words so frequent in the corpus that they need no restoring: at most ``1 / share``.
+
+    Words of two alphabets and stretched ones are disguises however frequent
+    (except for seed words that are written so, as xxx).
+    """
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = (r["w"] for r in words.where(F.col("n") >= max(least, share * total)).select("w").collect())
+    return frozenset(w for w in found if w in _SEEDS or not _odd(w))
 
 
 def passage_model(docs: DataFrame, labels: DataFrame, chars: CharModel, known: frozenset[str], *, key: str = "doc_id", text: str = "text", verdict: str = "verdict", sample: int = SAMPLE_DOCS) -> PassageModel:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm.abuse import CharModel, _grams, restored_words, scored_documents
+from skein.llm.abuse import CharModel, _grams, char_model, frequent_words, restored_words, scored_documents, word_counts
 from skein.llm.copies import canonical_address, formatting_copies
 from skein.llm.leaks import fingerprints, leaked_items
 from skein.llm.mixing import mixture_report, mixture_schedule, source_name
@@ -120,3 +120,12 @@ def test_scores(spark):
     assert got[902]["flagged"] and got[900]["score"] == -20.0 and not got[901]["flagged"] and not got[903]["flagged"]
     none = scored_documents(df.drop("flagged"), spark.createDataFrame([], "doc_id bigint, verdict string"))
     assert none.count() == len(rows) and scored_documents(df.drop("flagged").limit(0), spark.createDataFrame(labels, "doc_id bigint, verdict string")).count() == 0
+
+
+def test_frequent_disguises_are_restored(spark):
+    plain = "the harbour bridge is stable and the little idiot was naked here "
+    docs = spark.range(1040).select(F.when(F.col("id") < 1000, F.concat(F.repeat(F.lit(plain), 130), F.lit("nаkеd idiiiot xxx"))).otherwise("iddiot").alias("text"))
+    words = word_counts(docs)
+    known = frequent_words(words)
+    assert known >= {"the", "little", "naked", "xxx"} and not known & {"nаkеd", "idiiiot", "iddiot"}
+    assert restored_words("nаkеd idiiiot iddiot little", char_model(words), {}, known) == ["naked", "idiot", "idiot", "little"]
