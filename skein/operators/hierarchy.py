@@ -12,6 +12,7 @@ re-read.  Rounds are as many as the hierarchy is high.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from skein.shared import clean_id, parts_for, written
 
-#: Links that one task may finish (ids of some 40 characters: about 150 MB in Python).
-FINISH_ARCS = 300_000
+#: Links, and twice as many nodes, that one task may finish (ids of some 40 characters: about 50 MB in Python).
+FINISH_ARCS = 100_000
+#: Links down to which leaves are peeled in distributed rounds, as long as a round peels a share of them.
+PEEL_ARCS, PEEL_SHARE = 1_000, 0.02
 
 
 def _closure(arcs: DataFrame, n_parts: int) -> DataFrame:
@@ -184,33 +187,115 @@ def _strong_parts(nodes: list[int], kids: list[list[int]], inside: list[bool]) -
     return part
 
 
-def _finish_wide(state: DataFrame, arcs: DataFrame, loops: DataFrame, n: int) -> DataFrame:
-    """As :func:`_finish`, distributed: for a rest that no single task should hold."""
-    pure = arcs.select(F.col("p").alias("a"), F.col("c").alias("b"))
+def _parts_in_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Strong components of the links ``(p, c)`` of one task: ``(node, part)`` of those with several members."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    names: dict[str, int] = {}
+    kids: list[list[int]] = []
+    for b in held:
+        for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for x in (p, c):
+                if x not in names:
+                    names[x] = len(names)
+                    kids.append([])
+            kids[names[p]].append(names[c])
+    part = _strong_parts(list(range(len(kids))), kids, [True] * len(kids))
+    size = Counter(part.values())
+    ids = list(names)
+    rows = [(ids[v], ids[k]) for v, k in part.items() if size[k] > 1]
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["node", "part"])
+
+
+def _spread(marks: DataFrame, arcs: DataFrame) -> DataFrame:
+    """Least mark ``(node, m)`` that reaches each node over ``arcs`` ``(p, c)``, nodes without marks left out.
+
+    Rounds are as many as the longest shortest path.  Only marks that changed are sent on.
+    """
+    now = front = written(marks, "marks")
+    while not front.isEmpty():
+        sent = front.join(arcs, front["node"] == arcs["p"]).groupBy(F.col("c").alias("node")).agg(F.min("m").alias("got"))
+        both = written(now.join(sent, "node", "full").select("node", F.least("m", "got").alias("m"), (F.col("got").isNotNull() & (F.col("m").isNull() | (F.col("got") < F.col("m")))).alias("new")), "marks")
+        now, front = both.select("node", "m"), both.where("new").select("node", "m")
+    return now
+
+
+def _strong_wide(arcs: DataFrame, finish_arcs: int) -> DataFrame | None:
+    """Strong components with several members, ``(node, part)``; None if there is none.
+
+    What has no link in or no link out is on no cycle and is trimmed; each node
+    that is left takes the least id that reaches it, and those of one id that
+    reach this id in turn are its component.  One task takes at most
+    ``finish_arcs`` links.
+    """
+    out = None
+    left = arcs.select("p", "c")
+    add = lambda out, found: found if out is None else out.unionByName(found)
+    n = left.count()
+    while n:
+        if n <= finish_arcs:
+            return add(out, written(left.repartition(1).mapInArrow(_parts_in_task, "node string, part string"), "strong"))
+        left = written(left.join(left.select(F.col("c").alias("p")).distinct(), "p", "left_semi").join(left.select(F.col("p").alias("c")).distinct(), "c", "left_semi").select("p", "c"), "trimmed")
+        before, n = n, left.count()
+        if n < before:
+            continue
+        every = left.select(F.explode(F.array("p", "c")).alias("node")).distinct()
+        color = _spread(every.select("node", F.col("node").alias("m")), left)
+        inside = written(left.join(color.select(F.col("node").alias("p"), "m"), "p").join(color.select(F.col("node").alias("c"), F.col("m").alias("mc")), "c").where("m = mc").select(F.col("c").alias("p"), F.col("p").alias("c")), "inside")
+        found = _spread(color.where("node = m"), inside).select("node", F.col("m").alias("part"))
+        found = written(found, "strong")
+        out = add(out, found.join(found.groupBy("part").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("part"), "part", "left_semi").select("node", "part"))
+        left = written(left.join(found.select(F.col("node").alias("p")), "p", "left_anti").join(found.select(F.col("node").alias("c")), "c", "left_anti").select("p", "c"), "trimmed")
+        n = left.count()
+    return out
+
+
+def _finish_wide(state: DataFrame, arcs: DataFrame, loops: DataFrame, n: int, finish_arcs: int) -> DataFrame:
+    """As :func:`_finish`, distributed: for a rest that no single task should hold.
+
+    The members of a strong component reach the same nodes, so pairs are made
+    between components only.
+    """
+    strong = _strong_wide(arcs, finish_arcs)
+    named = state.select("node", "below")
+    named = named.withColumn("part", F.col("node")) if strong is None else named.join(strong.withColumnRenamed("part", "k"), "node", "left").select("node", "below", F.coalesce("k", "node").alias("part"))
+    named = written(named, "parts")
+    of = named.select("node", "part")
+    weights = written(named.groupBy("part").agg(F.sum(F.col("below") + 1).alias("w"), F.count(F.lit(1)).alias("members")), "weights")
+    pure = arcs.join(of.select(F.col("node").alias("p"), F.col("part").alias("a")), "p").join(of.select(F.col("node").alias("c"), F.col("part").alias("b")), "c").where("a != b").select("a", "b").distinct()
+    pure = written(pure, "condensed")
     reach = _closure(pure, n)
-    cyclic = written(reach.where("a = b").select(F.col("a").alias("node")).unionByName(loops).distinct(), "cyclic")
-    tainted = written(reach.join(cyclic.select(F.col("node").alias("a")), "a", "left_semi").select(F.col("b").alias("node")).unionByName(cyclic).distinct(), "tainted")
-    weights = state.select(F.col("node").alias("b"), (F.col("below") + 1).alias("w"))
-    listed = reach.where("a != b").join(weights, "b").groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("more"))
-    tops = state.select("node").join(arcs.select(F.col("c").alias("node")), "node", "left_anti")
+    bad = written(weights.where("members > 1").select("part").unionByName(loops.join(of, "node").select("part")).distinct(), "bad")
+    tainted = reach.join(bad.select(F.col("part").alias("a")), "a", "left_semi").select(F.col("b").alias("part")).unionByName(bad).distinct()
+    listed = reach.join(weights.select(F.col("part").alias("b"), "w"), "b").groupBy(F.col("a").alias("part")).agg(F.sum("w").alias("more"))
+    # A part without links in that holds a cycle is no top, but whatever it reaches has no root anyway.
+    tops = weights.select("part").join(pure.select(F.col("b").alias("part")), "part", "left_anti")
     from_top = (
-        reach.join(tops.select(F.col("node").alias("a")), "a", "left_semi")
-        .groupBy(F.col("b").alias("node"))
+        reach.join(tops.select(F.col("part").alias("a")), "a", "left_semi")
+        .groupBy(F.col("b").alias("part"))
         .agg(F.min(F.struct("dist", "a")).alias("m"))
-        .select("node", F.col("m.a").alias("root"), F.col("m.dist").alias("lvl"))
-        .unionByName(tops.select("node", F.col("node").alias("root"), F.lit(0).alias("lvl")))
+        .select("part", F.col("m.a").alias("root"), F.col("m.dist").alias("lvl"))
+        .unionByName(tops.select("part", F.col("part").alias("root"), F.lit(0).alias("lvl")))
     )
     flag = lambda df, name: df.withColumn(name, F.lit(1))
     return (
-        state.join(listed, "node", "left")
-        .join(from_top, "node", "left")
-        .join(flag(tainted, "bad"), "node", "left")
-        .join(flag(cyclic, "cyc"), "node", "left")
-        .select("node", F.when(F.col("bad").isNull(), F.col("root")).otherwise("").alias("root"), F.when(F.col("bad").isNull(), F.col("lvl")).otherwise(-1).cast("int").alias("lvl"), (F.col("below") + F.coalesce("more", F.lit(0))).alias("below"), F.coalesce("cyc", F.lit(0)).alias("cyc"))
+        of.join(weights, "part")
+        .join(listed, "part", "left")
+        .join(from_top, "part", "left")
+        .join(flag(tainted, "bad"), "part", "left")
+        .join(flag(loops.distinct(), "loop"), "node", "left")
+        .select(
+            "node",
+            F.when(F.col("bad").isNull(), F.col("root")).otherwise("").alias("root"),
+            F.when(F.col("bad").isNull(), F.col("lvl")).otherwise(-1).cast("int").alias("lvl"),
+            (F.col("w") - 1 + F.coalesce("more", F.lit(0))).alias("below"),
+            F.when(F.col("members") > 1, 1).otherwise(F.coalesce("loop", F.lit(0))).alias("cyc"),
+        )
     )
 
 
-def hierarchy(links: DataFrame, *, parent: str = "source_node_id", child: str = "target_node_id", finish_arcs: int = FINISH_ARCS) -> DataFrame:
+def hierarchy(links: DataFrame, *, parent: str = "source_node_id", child: str = "target_node_id", finish_arcs: int = FINISH_ARCS, peel_arcs: int = PEEL_ARCS) -> DataFrame:
     """Root, level, number of descendants and cycle membership of every node.
 
     Returns ``(node_id, root_id, level_no, n_descendants, on_cycle)``, one row
@@ -221,8 +306,10 @@ def hierarchy(links: DataFrame, *, parent: str = "source_node_id", child: str =
     ``''`` and level -1.  If several roots reach a node, the nearest counts,
     and of equally near ones the smallest id.  Empty input gives no rows.
 
-    Rounds of peeling are distributed until at most ``finish_arcs`` links are
-    left; one task peels those the same way.  The result does not depend on it.
+    Rounds of peeling are distributed until at most ``peel_arcs`` links are left
+    or a round peels little; nodes without links are then done, and one task
+    peels the rest the same way if it has at most ``finish_arcs`` links.  The
+    result depends on neither.
     """
     raw = links.select(clean_id(F.col(parent)).alias("p"), clean_id(F.col(child)).alias("c")).where(F.col("p").isNotNull() & F.col("c").isNotNull()).distinct()
     arcs_all = written(raw, "arcs")
@@ -233,7 +320,7 @@ def hierarchy(links: DataFrame, *, parent: str = "source_node_id", child: str =
     arcs = arcs_all.where(F.col("p") != F.col("c"))
 
     peeled: list[DataFrame] = []
-    if n_arcs <= finish_arcs:
+    if n_arcs <= min(peel_arcs, finish_arcs):
         state = every.select("node", F.lit(0).cast("long").alias("below"))
     else:
         left = arcs.groupBy(F.col("p").alias("node")).agg(F.count(F.lit(1)).alias("left"))
@@ -246,7 +333,7 @@ def hierarchy(links: DataFrame, *, parent: str = "source_node_id", child: str =
             .select("node", F.coalesce("left", F.lit(0)).alias("left"), F.lit(0).cast("long").alias("below"), (F.coalesce("joint", F.lit(False)) | F.coalesce("looped", F.lit(False))).alias("stays")),
             "state",
         )
-        while n_arcs > finish_arcs:
+        while n_arcs > min(peel_arcs, finish_arcs):
             # Nodes with several parents stay, and with them all above: sizes may be summed in what is peeled.
             leaves = written(state.where("left = 0 and not stays").join(arcs.select(F.col("c").alias("node"), "p"), "node", "left").select("node", "p", "below"), "leaves")
             gone = leaves.count()
@@ -262,14 +349,22 @@ def hierarchy(links: DataFrame, *, parent: str = "source_node_id", child: str =
             )
             arcs = written(arcs.join(leaves.select(F.col("node").alias("c")), "c", "left_anti"), "arcs")
             n_arcs = arcs.count()
+            if n_arcs <= finish_arcs and gone < PEEL_SHARE * n_arcs:
+                break  # high and narrow: rounds would be many
 
+    # Nodes without links to others are done: a root, or a node that contains only itself.
+    linked = arcs.select(F.explode(F.array("p", "c")).alias("node")).distinct()
+    alone = state.select("node", "below").join(linked, "node", "left_anti").join(loops.distinct().withColumn("cyc", F.lit(1)), "node", "left")
+    alone = alone.select("node", F.when(F.col("cyc").isNull(), F.col("node")).otherwise("").alias("root"), F.when(F.col("cyc").isNull(), 0).otherwise(-1).cast("int").alias("lvl"), "below", F.coalesce("cyc", F.lit(0)).alias("cyc"))
+    state, loops = state.join(linked, "node", "left_semi"), loops.join(linked, "node", "left_semi")
     if n_arcs <= finish_arcs:
         rest = state.select(F.col("node").alias("p"), F.lit(None).cast("string").alias("c"), "below").unionByName(
             arcs.select("p", "c", F.lit(0).cast("long").alias("below")).unionByName(loops.select(F.col("node").alias("p"), F.col("node").alias("c"), F.lit(0).cast("long").alias("below")))
         )
         solved = rest.repartition(1).mapInArrow(_finish, "node string, root string, lvl int, below bigint, cyc int")
     else:
-        solved = _finish_wide(state.select("node", "below"), arcs, loops, n)
+        solved = _finish_wide(written(state.select("node", "below"), "rest"), arcs, loops, n, finish_arcs)
+    solved = solved.unionByName(alone)
     if peeled:
         solved = written(solved, "solved")
     above, out = solved, solved

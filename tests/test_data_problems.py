@@ -97,3 +97,31 @@ def test_hierarchy_paths_and_empty(spark):
     paths = {r[0]: r[1] for r in hierarchy_paths(df, hierarchy(df)).collect()}
     assert paths == {"a": ["a"], "b": ["a", "b"], "c": ["a", "b", "c"], "d": ["a", "d"]}
     assert hierarchy(df.limit(0)).count() == 0
+
+
+def test_hierarchy_finishes_few_nodes_in_one_task(spark, monkeypatch):
+    """A shallow forest, nodes that contain themselves and a few links: only the nodes of links reach the one task."""
+    from skein.operators import hierarchy as H
+
+    rows = [(f"r{k}", f"leaf{k}") for k in range(300)] + [(f"s{k}", f"s{k}") for k in range(50)] + [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")]
+
+    def few(batches, whole=H._finish):
+        held = list(batches)
+        assert sum(b.num_rows for b in held) <= 20
+        yield from whole(iter(held))
+
+    monkeypatch.setattr(H, "_finish", few)
+    got = {r[0]: tuple(r[1:]) for r in hierarchy(spark.createDataFrame(rows, "source_node_id string, target_node_id string"), finish_arcs=20).collect()}
+    assert got == brute(rows)
+
+
+@pytest.mark.parametrize("finish", [0, 25])
+def test_cycles_are_counted_by_component(spark, monkeypatch, finish):
+    """Pairs of the closure are between strong components, not between the members of cycles."""
+    from skein.operators import hierarchy as H
+
+    rows = [(f"c{k:02}", f"c{(k + 1) % 30:02}") for k in range(30)] + [("c03", "x"), ("x", "y"), ("top", "c05"), ("y", "z"), ("x", "z"), ("d1", "d2"), ("d2", "d1"), ("z", "d1"), ("e", "e"), ("e", "f"), ("q", "e"), ("p1", "j"), ("p2", "j"), ("p2", "p1")]
+    sizes = []
+    monkeypatch.setattr(H, "_closure", lambda arcs, n, whole=H._closure: (sizes.append((r := whole(arcs, n)).count()), r)[1])
+    got = {r[0]: tuple(r[1:]) for r in hierarchy(spark.createDataFrame(rows, "source_node_id string, target_node_id string"), finish_arcs=finish).collect()}
+    assert got == brute(rows) and len(sizes) == 1 and sizes[0] < 40
