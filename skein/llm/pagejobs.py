@@ -57,8 +57,8 @@ def page_bodies(responses: DataFrame, *, html: str = "html", key: str = "respons
     """One row per response with html: its body's block md5s, residue and, if asked, shingles.
 
     ``(id, md5s array<binary>, kind string, doubtful array<string>, site string, sets binary, ck bigint)``.
-    ``kind`` is the residue that a rule alone decides; ``doubtful`` are masked
-    short messages that only recurrence over sources decides.  Null html gives
+    ``kind`` is the residue that a rule alone decides; ``doubtful`` are hashes
+    of masked texts, of any length, that only recurrence over sources decides.  Null html gives
     no row; empty html gives a row without blocks.  ``sets`` holds the sorted
     hashes of the body's different ``shingle``-word sequences, if ``shingle``
     (then without md5s), and ``ck`` a key of that set.
@@ -74,13 +74,13 @@ def page_bodies(responses: DataFrame, *, html: str = "html", key: str = "respons
                 for t, pre in zip(texts, listing):
                     if pre:
                         continue
-                    m = masked(t) if len(t) < 300 else ""
+                    m = masked(t)
                     kind = residue_kind(t, m)
                     if kind:
                         break
-                    if m and may_be_message(m):
-                        doubt.append(m)
-                if not texts and any(is_message(masked(t)) or may_be_message(masked(t)) for t in noscript_text(page)):
+                    if m and may_be_message(m, len(texts) <= 2):
+                        doubt.append(hashlib.md5(m.encode("utf-8", "replace"), usedforsecurity=False).hexdigest())
+                if not texts and any(is_message(masked(t)) or may_be_message(masked(t), True) for t in noscript_text(page)):
                     kind = "message"
                 ids.append(i)
                 kinds.append(kind)

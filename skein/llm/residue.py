@@ -3,8 +3,8 @@
 Numbers, addresses and dates of a block are masked; blocks with the same
 normalised text form a group across all sources.  A group is a case if a
 placeholder or filler rule matches it, if it is as a whole one of the known
-kinds of message, or if it is short, speaks of failure and recurs on many
-sources.  Listings (pre) are not looked at.
+kinds of message, or if it is short or the whole body of a page,
+speaks of failure and recurs on many sources.  Listings (pre) are not looked at.
 """
 
 from __future__ import annotations
@@ -68,7 +68,7 @@ LOREM = (
 )
 # --- end of fixed values --------------------------------------------------------------------------
 
-#: Sources on which a short unlisted message must recur, and its longest form in words.
+#: Sources on which an unlisted message must recur, and its longest form in words beside other text.
 WIDE_SOURCES, WIDE_WORDS = 10, 12
 
 _LOREM = {w[:k] for w in LOREM.split() for k in range(min(4, len(w)), len(w) + 1)}
@@ -80,9 +80,9 @@ _SLOT_HINT = re.compile(r"[{%<@$\[]|__|undefined|NaN|null|None")
 _FILLER_HINT = ("lorem", "ipsum", "dolor", "amet", "elit", "tempor", "magna", "aliqua", "veniam", "venia", "quis", "nulla", "irur", "volup", "sint", "enim", "labor")
 _WORD = re.compile(r"[^\W\d_]+")
 _DATE = re.compile(r"\b\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d(?::\d\d)?)?\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b")
-_ADDRESS = re.compile(r"\bhttps?://\S+|\b[\w.+-]+@[\w-]+\.[\w.]+|\b\d{1,3}(?:\.\d{1,3}){3}\b")
+_ADDRESS = re.compile(r"\bhttps?://\S+|(?<![\w.+-])[\w.+-]++@[\w-]+\.[\w.]+|\b\d{1,3}(?:\.\d{1,3}){3}\b")
 _NUMBER = re.compile(r"\d+")
-_EDGE = re.compile(r"^[\s.!?…:;,–—-]+|[\s.!?:;,–—-]+$")
+_EDGE = re.compile(r"^[\s.!?…:;,–—-]+|(?<![\s.!?:;,–—-])[\s.!?:;,–—-]+$")
 
 
 def masked(text: str) -> str:
@@ -109,13 +109,13 @@ def has_slot(text: str) -> bool:
 
 
 def is_message(mask: str) -> bool:
-    """A masked text that is as a whole one of the known messages."""
-    return len(mask) < 300 and mask != "#" and _MESSAGE.fullmatch(mask) is not None
+    """A masked text, of any length, that is as a whole one of the known messages."""
+    return mask != "#" and _MESSAGE.fullmatch(mask) is not None
 
 
-def may_be_message(mask: str) -> bool:
-    """Short text that speaks of failure; a case only if it recurs widely."""
-    return mask.count(" ") < WIDE_WORDS and _STEM.search(mask) is not None
+def may_be_message(mask: str, alone: bool = False) -> bool:
+    """Text that speaks of failure, short or ``alone`` in its body; a case only if it recurs widely."""
+    return (alone or mask.count(" ") < WIDE_WORDS) and _STEM.search(mask) is not None
 
 
 def residue_kind(text: str, mask: str | None = None) -> str | None:
@@ -123,6 +123,6 @@ def residue_kind(text: str, mask: str | None = None) -> str | None:
     if has_slot(text):
         return "slot"
     mask = masked(text) if mask is None else mask
-    if len(mask) < 300 and is_message(mask):
+    if is_message(mask):
         return "message"
     return "filler" if is_filler(text) else None

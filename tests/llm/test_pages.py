@@ -96,3 +96,15 @@ def test_alike_against_brute_force(spark):
     assert {tuple(r) for r in alike_pages(df).collect()} == want
     classes = {r["response_id"]: r for r in alike_page_classes(df).collect()}
     assert classes[0]["n_members"] == sum(s == sets[0] for s in sets) >= 7 and classes[len(texts) - 3]["class_id"] == 0
+
+
+def test_long_messages(spark):
+    trace = "Traceback (most recent call last): " + " ".join(f'File "/srv/app/part{k}.py", line {k}, in run_{k} return self.call(request)' for k in range(9))
+    fault = "Your request was not served because the inner part of this machine reported an error that nobody expected; " + "we ask all visitors to wait a little and to come back in the evening when our people have looked after it; " * 3
+    article = f"<p>{SENTENCES[0]}</p><p>{SENTENCES[1]} An error of the keeper was named as the cause, and it took the town years to pay for what was lost.</p><p>{SENTENCES[2]}</p>"
+    plain = lambda t: f"<html><body><p>{t}</p></body></html>"
+    assert len(trace) > 300 and len(fault) > 300 and main_body(plain(fault))[0] == [fault.strip()]
+    rows = [(1, "http://a/1", plain(trace), 500)]
+    rows += [(10 + k, f"http://s{k}/x", plain(fault), 200) for k in range(10)] + [(30 + k, f"http://s{k}/y", page(article), 200) for k in range(10)]
+    rows += [(50, "http://a/2", plain("Sorry: " + fault), 200)]
+    assert {r[0] for r in residue_pages(spark.createDataFrame(rows, SCHEMA)).collect()} == {1, *range(10, 20)}
