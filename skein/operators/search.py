@@ -141,10 +141,10 @@ def bisecting(vectors: DataFrame, k: int, *, seed: int = 42, key: str = "vec_id"
 
 
 def ward(vectors: DataFrame, k: int, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Agglomerative clustering with Ward's criterion; more than ``MAX_WARD`` vectors go to :func:`bisecting`."""
+    """Agglomerative clustering with Ward's criterion; more than ``MAX_WARD`` vectors are an error (:func:`bisecting` takes any number)."""
     rows = vectors.select(F.col(key).cast("long").alias(key), F.col(vector).alias("v")).where(F.col(key).isNotNull() & F.col("v").isNotNull())
-    if rows.count() > MAX_WARD:
-        return bisecting(vectors, k, key=key, vector=vector)
+    if (n := rows.count()) > MAX_WARD:
+        raise ValueError(f"ward: {n} vectors, at most {MAX_WARD}; bisecting() takes any number, with another method")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vs = [], []

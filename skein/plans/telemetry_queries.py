@@ -91,6 +91,10 @@ def vector_clusters_ward(spark: SparkSession, d: str) -> DataFrame:
     return S.ward(table(spark, d, "embeddings"), 10).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
+def vector_clusters_bisecting(spark: SparkSession, d: str) -> DataFrame:
+    return S.bisecting(table(spark, d, "embeddings"), 10).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     "crawl_metrics": _r(T.crawl_metrics),
     "crawl_metrics_by_kind": _r(lambda r: T.crawl_metrics(r, ["kind"])),
@@ -111,7 +115,7 @@ QUERIES = {
     "cosine_topk": _near("cosine"),
     "dot_topk": _near("dot"),
     "euclidean_topk": _near("euclidean"),
-} | {f.__name__: f for f in (error_classes, retry_delays, queue_counts, queue_next, jobs_second_page, search_threshold, compare_pairs, vector_clusters_dbscan, vector_clusters_kmeans, vector_clusters_ward)}
+} | {f.__name__: f for f in (error_classes, retry_delays, queue_counts, queue_next, jobs_second_page, search_threshold, compare_pairs, vector_clusters_dbscan, vector_clusters_kmeans, vector_clusters_ward, vector_clusters_bisecting)}
 
 _R = "r AS (SELECT event_id AS id, ts, user_id AS key, event_type <> 'error' AS ok, value / 100 AS seconds, event_type AS kind, 'HTTP ' || json_extract_string(props, '$.k') || ' timeout' AS error FROM events)"
 _METRICS = "count(*) AS n_requests, count(*) FILTER (ok) AS n_ok, count(*) FILTER (NOT ok) AS n_failed, avg(seconds) AS avg_seconds, min(seconds) AS min_seconds, max(seconds) AS max_seconds, count(*) FILTER (ok) * 100.0 / count(*) AS success_percent"

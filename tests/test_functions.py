@@ -173,3 +173,11 @@ def test_vectors(spark):
     ward = {r[0]: r[1] for r in search.ward(pts, 3).collect()}
     assert len({ward[k] for k in range(4)}) == 1 and len(set(ward.values())) == 3
     assert search.kmeans(pts, 3).select("cluster").distinct().count() == 3 and search.kmeans(pts.limit(1), 3).count() == 0
+
+
+def test_ward_does_not_change_its_method(spark, monkeypatch):
+    pts = spark.createDataFrame([(k, [1.0, 0.01 * k]) for k in range(8)], "vec_id bigint, embedding array<float>")
+    monkeypatch.setattr(search, "MAX_WARD", 7)
+    with pytest.raises(ValueError, match="at most 7"):
+        search.ward(pts, 3)
+    assert search.ward(pts.limit(7), 3).count() == 7 and search.bisecting(pts, 3).count() == 8
