@@ -92,11 +92,15 @@ def plan_mixture(tokens: DataFrame, targets: DataFrame) -> list[dict]:
     The mixture's size is ``size_factor`` times all tokens; a source gets its
     share of that, or all its tokens ``max_repeats`` times if that is less.
     Targets without a name are none; of a repeated name the largest row counts.
+    More than ``MAX_TARGETS`` rows with a name are an error.
     """
-    have = {r["source_name"]: r for r in tokens.groupBy("source_name").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).join(F.broadcast(targets.select(F.col("source_name")).distinct().limit(MAX_TARGETS)), "source_name").collect()}
+    named = targets.where(F.col("source_name").isNotNull())
+    if named.limit(MAX_TARGETS + 1).count() > MAX_TARGETS:
+        raise ValueError(f"mix targets: more than {MAX_TARGETS} rows")
+    have = {r["source_name"]: r for r in tokens.groupBy("source_name").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).join(F.broadcast(named.select("source_name").distinct()), "source_name").collect()}
     total = tokens.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     best: dict[str, dict] = {}
-    for r in targets.where(F.col("source_name").isNotNull()).orderBy("source_name", "target_share").limit(MAX_TARGETS).collect():
+    for r in named.orderBy("source_name", "target_share").collect():
         share, repeats, factor = float(r["target_share"] or 0), int(r["max_repeats"] or 0), float(r["size_factor"] or 0)
         tokens_have = int(have[r["source_name"]]["tokens"]) if r["source_name"] in have else 0
         wanted = share * factor * total

@@ -129,3 +129,13 @@ def test_frequent_disguises_are_restored(spark):
     known = frequent_words(words)
     assert known >= {"the", "little", "naked", "xxx"} and not known & {"nаkеd", "idiiiot", "iddiot"}
     assert restored_words("nаkеd idiiiot iddiot little", char_model(words), {}, known) == ["naked", "idiot", "idiot", "little"]
+
+
+def test_too_many_targets_are_an_error(spark, monkeypatch):
+    from skein.llm import mixing
+
+    monkeypatch.setattr(mixing, "MAX_TARGETS", 2)
+    rows = [("article", 0.5, 1, 0.5), ("for_um", 0.4, 2, 0.9), (None, 0.1, 1, 1.0)]
+    assert mixture_report(corpus(spark), targets(spark, rows)).count() == 2
+    with pytest.raises(ValueError, match="more than 2"):
+        mixture_report(corpus(spark), targets(spark, [*rows, ("other", 0.1, 1, 1.0)]))
