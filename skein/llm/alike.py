@@ -9,6 +9,10 @@ Matches of prefixes are summed over the regions; pairs whose sizes, matches and
 places bound the distance above the threshold fall away, and what is left is
 verified on the whole sets.
 
+What travels between the passes is packed: entries are sorted by the number of
+their class, and only the gaps between numbers are sent (about a byte each at
+any number of regions).
+
 Why no pivots of Voronoi regions: at a distance of at most one half, twice the
 radius is the diameter of the Jaccard space, so that the triangle inequality
 excludes nothing and every document would be replicated to every region; see
@@ -31,8 +35,11 @@ from skein.shared import written
 REGION_ENTRIES = 1_500_000
 #: Pairs generated at a time within a region.
 PAIR_CHUNK = 1_000_000
+#: Numbers of classes (8 bytes each) up to which a list of them is broadcast.
+BROADCAST_CLASSES = 500_000
 
 _WIDTH = 6  # bytes of a stored hash: a false match within a pair of 1000-shingle texts has a chance below 1e-8
+_RUN = np.int64(12)  # classes whose numbers agree but for these bits go to one bucket
 
 
 def pack(hashes: np.ndarray) -> bytes:
@@ -53,35 +60,33 @@ def class_key(blob: bytes) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(blob))))
 
 
-def _by_region(key: np.ndarray, doc: np.ndarray, ck: np.ndarray, size: np.ndarray, n_regions: int, *more: np.ndarray) -> pa.RecordBatch:
-    """One row per region: its classes with their sizes, and the entries (hash, class, ...) in it."""
-    # 24 bits choose the region, the 24 others and 8 of the first are compared: equal hashes stay equal.
-    region = ((key >> np.uint64(24)) * np.uint64(n_regions)) >> np.uint64(24)
-    order = np.argsort(region, kind="stable")
-    region, key, doc, more = region[order], key[order], doc[order], [x[order] for x in more]
-    bounds = np.searchsorted(region, np.arange(n_regions + 1, dtype=np.uint64))
-    out: list[list] = [[] for _ in range(5 + len(more))]
-    for r in np.flatnonzero(np.diff(bounds)):
-        lo, hi = bounds[r], bounds[r + 1]
-        used, local = np.unique(doc[lo:hi], return_inverse=True)
-        row = (int(r), ck[used].tobytes(), size[used].tobytes(), (key[lo:hi] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(), local.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes(), *(x[lo:hi].tobytes() for x in more))
-        for column, x in zip(out, row):
-            column.append(x)
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["r", "ck", "size", "h", "d", *"xyz"[: len(more)]])
-
-
-def _gather(rows: list[tuple]) -> tuple[np.ndarray, ...]:
-    """Entries of one region or bucket from its rows: class, size, hash, and what else the rows have."""
-    base, ck, size, h, d, more = 0, [], [], [], [], []
-    for k, s, hh, dd, *rest in rows:
-        ck.append(np.frombuffer(k, np.int64))
-        size.append(np.frombuffer(s, np.int32))
-        h.append(np.frombuffer(hh, np.uint32))
-        d.append(np.frombuffer(dd, np.uint16 if len(ck[-1]) < 65536 else np.uint32).astype(np.int64) + base)
-        more.append([np.frombuffer(x, np.uint16) for x in rest])
-        base += len(ck[-1])
-    d = np.concatenate(d)
-    return np.concatenate(ck)[d], np.concatenate(size)[d], np.concatenate(h), *(np.concatenate(x) for x in zip(*more))
+def gaps(numbers: np.ndarray) -> bytes:
+    """Sorted int64 numbers as their first, and gaps of a byte (255: in the list of large ones ahead)."""
+    d = np.diff(numbers)
+    large = d[d >= 255]
+    return np.array([len(large), numbers[0], *large], np.int64).tobytes() + np.minimum(d, 255).astype(np.uint8).tobytes()
+
+
+def ungaps(blob: bytes) -> np.ndarray:
+    n_large, first = np.frombuffer(blob, np.int64, 2)
+    small = np.frombuffer(blob, np.uint8, offset=16 + 8 * int(n_large))
+    d = small.astype(np.int64)
+    d[small == 255] = np.frombuffer(blob, np.int64, int(n_large), 16)
+    return first + np.concatenate([[0], np.cumsum(d)])
+
+
+def _rows(key: np.ndarray, no: np.ndarray, *more: np.ndarray) -> Iterator[tuple]:
+    """``(key, gaps of no, blob of each other array)`` for every key, sorted by ``no``."""
+    order = np.lexsort((no, key))
+    key, no, more = key[order], no[order], [x[order] for x in more]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else []
+    for lo, hi in zip(at, [*at[1:], len(key)]):
+        yield (int(key[lo]), gaps(no[lo:hi]), *(x[lo:hi].tobytes() for x in more))
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n in ("r", "c", "o") else pa.binary()) for n, c in zip(names, columns)], names=names)
 
 
 def _per_group(work):
@@ -103,73 +108,78 @@ def _per_group(work):
 
 
 def _sets_by_region(n_regions: int):
+    """``(r, numbers, hashes)`` of the sets of each batch."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for b in batches:
-            keys, sets = [], []
-            for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if k not in seen:  # copies collapse before anything is shuffled
-                    seen.add(k)
-                    keys.append(k)
-                    sets.append(unpack(s))
-            if keys:
-                size = np.array([len(s) for s in sets], np.int32)
-                yield _by_region(np.concatenate(sets), np.repeat(np.arange(len(keys)), size), np.array(keys, np.int64), size, n_regions)
+            sets = [unpack(s) for s in b.column(1).to_pylist()]
+            if sets:
+                key = np.concatenate(sets)
+                # 24 bits choose the region, the 24 others and 8 of the first are compared: equal hashes stay equal.
+                region = ((key >> np.uint64(24)) * np.uint64(n_regions)) >> np.uint64(24)
+                no = np.repeat(np.array(b.column(0).to_pylist(), np.int64), [len(s) for s in sets])
+                yield _batch(list(_rows(region, no, (key & np.uint64(0xFFFFFFFF)).astype(np.uint32))), ["r", "no", "h"])
+
+    return emit
+
+
+def _bucket(no: np.ndarray, n_buckets: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (no >> _RUN).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
+
+
+def _sizes(n_buckets: int):
+    """``(c, o = -1, numbers, sizes)``: how many hashes each class has, by bucket of the class."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            no, size = np.array(b.column(0).to_pylist(), np.int64), np.array(b.column(1).to_pylist(), np.int32)
+            yield _batch([(c, -1, g, s, b"") for c, g, s in _rows(_bucket(no, n_buckets), no, size)], ["c", "o", "no", "h", "df"])
 
     return emit
 
 
 def _shared(n_buckets: int):
-    """Entries of a region that more than one class has, with how many, by bucket of the class."""
+    """Entries of a region that more than one class has, with how many (in steps of an eighth of a power of two), by bucket of the class."""
 
     def work(region: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ck, size, h = _gather(rows)
-        order = np.lexsort((ck, h))
-        ck, size, h = ck[order], size[order], h[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (ck[1:] != ck[:-1])])
-        ck, size, h = ck[new], size[new], h[new]  # a class may come from several partitions
+        no, h = np.concatenate([ungaps(g) for g, _ in rows]), np.concatenate([np.frombuffer(x, np.uint32) for _, x in rows])
+        order = np.argsort(h, kind="stable")
+        no, h = no[order], h[order]
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         count = np.diff(np.append(start, len(h)))
-        df = np.repeat(count, count)
-        keep = df > 1
-        ck, size, h, df = ck[keep], size[keep], h[keep], np.minimum(df[keep], 65535).astype(np.uint16)
-        bucket = (ck.view(np.uint64) >> np.uint64(32)) % np.uint64(n_buckets)
-        out: list[list] = [[] for _ in range(6)]
-        for c in np.unique(bucket):
-            at = np.flatnonzero(bucket == c)
-            used, first, local = np.unique(ck[at], return_index=True, return_inverse=True)
-            row = (int(c), used.tobytes(), size[at][first].tobytes(), h[at].tobytes(), local.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes(), df[at].tobytes())
-            for column, x in zip(out, row):
-                column.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array([region] * len(out[0]), pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["c", "r", "ck", "size", "h", "d", "df"])
+        df = np.repeat(np.minimum(255, np.round(8 * np.log2(count))).astype(np.uint8), count)
+        keep = np.repeat(count > 1, count)
+        no, h, df = no[keep], h[keep], df[keep]
+        yield _batch([(c, region, *x) for c, *x in _rows(_bucket(no, n_buckets), no, h, df)], ["c", "o", "no", "h", "df"])
 
     return _per_group(work)
 
 
-def _prefixes(n_regions: int, threshold: float):
+def _prefixes(threshold: float):
     """The part of each class's prefix that other classes share, rarest first, back to the regions."""
 
     def work(_: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ck, size, h, df = _gather([row[1:] for row in rows])
-        region = np.concatenate([np.full(len(row[3]) // 4, row[0], np.uint64) for row in rows])
-        order = np.lexsort((h, region, df, ck))
-        ck, size, h, region = ck[order], size[order].astype(np.int64), h[order], region[order]
-        start = np.flatnonzero(np.concatenate([[True], ck[1:] != ck[:-1]]))
-        length = np.diff(np.append(start, len(ck)))
-        place = np.arange(len(ck)) - np.repeat(start, length) + (size - np.repeat(length, length))  # behind what only this class has
-        keep = place < size - np.ceil(threshold * size - 1e-9) + 1
-        ck, size, h, region, place = ck[keep], size[keep], h[keep], region[keep], place[keep]
-        if not len(ck):
+        known = [r for r in rows if r[0] < 0]
+        rows = [r for r in rows if r[0] >= 0]
+        if not rows:
             return
-        used, first, local = np.unique(ck, return_index=True, return_inverse=True)
-        out: list[list] = [[] for _ in range(6)]
-        for r in np.unique(region):
-            at = np.flatnonzero(region == r)
-            u, l2 = np.unique(local[at], return_inverse=True)
-            row = (int(r), used[u].tobytes(), size[first][u].astype(np.int32).tobytes(), h[at].tobytes(), l2.astype(np.uint16 if len(u) < 65536 else np.uint32).tobytes(), np.minimum(place[at], 65535).astype(np.uint16).tobytes())
-            for column, x in zip(out, row):
-                column.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["r", "ck", "size", "h", "d", "p"])
+        owner, sizes = np.concatenate([ungaps(g) for _, g, _, _ in known]), np.concatenate([np.frombuffer(s, np.int32) for _, _, s, _ in known])
+        order = np.argsort(owner)
+        owner, sizes = owner[order], sizes[order].astype(np.int64)
+        no, h, df = np.concatenate([ungaps(r[1]) for r in rows]), np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows]), np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows])
+        region = np.repeat(np.array([r[0] for r in rows], np.int64), [len(r[2]) // 4 for r in rows])
+        order = np.lexsort((h, region, df, no))
+        no, h, region = no[order], h[order], region[order]
+        size = sizes[np.searchsorted(owner, no)]
+        start = np.flatnonzero(np.concatenate([[True], no[1:] != no[:-1]]))
+        length = np.diff(np.append(start, len(no)))
+        place = np.arange(len(no)) - np.repeat(start, length) + (size - np.repeat(length, length))  # behind what only this class has
+        keep = place < size - np.ceil(threshold * size - 1e-9) + 1
+        no, h, region, place, size = no[keep], h[keep], region[keep], place[keep], size[keep]
+        # Places in 256ths of the set, rounded down: a bound stays one.
+        yield _batch(list(_rows(region, no, h, size.astype(np.int32), (place * 256 // size).astype(np.uint8))), ["r", "no", "h", "size", "p"])
 
     return _per_group(work)
 
@@ -178,10 +188,12 @@ def _matches(threshold: float):
     """Matches of prefixes within a region: for each pair how many, and the furthest places."""
 
     def work(_: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        key, size, h, p = _gather(rows)
+        key, h = np.concatenate([ungaps(r[0]) for r in rows]), np.concatenate([np.frombuffer(r[1], np.uint32) for r in rows])
+        size, p = np.concatenate([np.frombuffer(r[2], np.int32) for r in rows]).astype(np.int64), np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows])
+        p = (p * size // 256).astype(np.int32)
         # By hash, then by size: the larger partners of an entry follow it.
         order = np.lexsort((size, h))
-        key, size, h, p = key[order], size[order].astype(np.int64), h[order], p[order].astype(np.int32)
+        key, size, h, p = key[order], size[order], h[order], p[order]
         classes, key = np.unique(key, return_inverse=True)
         fan = np.searchsorted(h, h, side="right") - np.arange(len(h)) - 1
         start, held = 0, []
@@ -189,7 +201,7 @@ def _matches(threshold: float):
             total = np.cumsum(fan[start : start + 500_000])
             stop = start + max(1, int(np.searchsorted(total, PAIR_CHUNK, side="right")))
             f = fan[start:stop]
-            left = np.repeat(np.arange(start, stop), f)
+            left = np.repeat(np.arange(start, min(stop, len(h))), f)
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(f) - f, f)
             ok = (size[right] * threshold <= size[left] + 1e-9) & (key[left] != key[right])
             left, right = left[ok], right[ok]
@@ -222,45 +234,48 @@ def _summed(pair: np.ndarray, m: np.ndarray, pa_: np.ndarray, pb: np.ndarray, na
 def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, sa, sb = (c.to_pylist() for c in batch.columns)
             keep = []
-            for x, y in zip(sa, sb):
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = unpack(x), unpack(y)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(shared >= threshold * (len(x) + len(y) - shared) - 1e-9)
-            keep = np.array(keep, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[keep]), pa.array(np.array(b, np.int64)[keep])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
     return run
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """``df`` for a join, broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES else df
+
+
 def alike_classes(docs: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``(a, b)`` of class keys whose sets have a Jaccard similarity of ``threshold`` or more.
 
-    ``docs`` is a written table with ``ck`` (class key) and ``sets`` (packed
-    hashes); rows of one class count once, empty sets belong to no pair.
+    ``docs`` is a written table with ``no`` (a number of its own for each row),
+    ``ck`` (class key) and ``sets`` (packed hashes); rows of one class count
+    once, empty sets belong to no pair.
     """
+    first = docs.groupBy("ck").agg(F.min("no").alias("no"), F.count(F.lit(1)).alias("rows"))
+    again = docs.join(_few(first.where("rows > 1")).withColumnRenamed("no", "least"), "ck").where(F.col("no") > F.col("least")).select("no")
+    single = docs.join(_few(written(again, "again")), "no", "left_anti").withColumn("n", (F.length("sets") / _WIDTH).cast("int"))
     entries = docs.agg(F.coalesce(F.sum(F.length("sets")), F.lit(0))).first()[0] // _WIDTH
-    n_regions = int(max(12, min(60_000, -(-entries // REGION_ENTRIES))))
+    n_regions = int(max(12, -(-entries // REGION_ENTRIES)))
     width = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_regions)
-    blobs = "ck binary, size binary, h binary, d binary"
     grouped = lambda df, by: df.repartition(width, by).sortWithinPartitions(by)
-    regions = docs.select("ck", "sets").mapInArrow(_sets_by_region(n_regions), f"r int, {blobs}")
-    shared = grouped(regions, "r").mapInArrow(_shared(n_regions), f"c int, r int, {blobs}, df binary")
-    prefixes = grouped(shared, "c").mapInArrow(_prefixes(n_regions, threshold), f"r int, {blobs}, p binary")
+    by_bucket = "c int, o int, no binary, h binary, df binary"
+    regions = single.select("no", "sets").mapInArrow(_sets_by_region(n_regions), "r int, no binary, h binary")
+    shared = grouped(regions, "r").mapInArrow(_shared(n_regions), by_bucket).unionByName(single.select("no", "n").mapInArrow(_sizes(n_regions), by_bucket))
+    prefixes = grouped(shared, "c").mapInArrow(_prefixes(threshold), "r int, no binary, h binary, size binary, p binary")
     matches = grouped(prefixes, "r").mapInArrow(_matches(threshold), "a bigint, b bigint, m int, pa int, pb int, na int, nb int")
     both = matches.groupBy("a", "b").agg(F.sum("m").alias("m"), *[F.max(c).alias(c) for c in ("pa", "pb", "na", "nb")])
     # What is not matched yet lies behind the last match and behind the prefix that ends first.
     after = lambda n: F.ceil(F.col(n) * threshold - 1e-9) - 1
     rest = F.greatest(F.least(after("na"), F.col("nb") - 1 - F.col("pb")), F.least(after("nb"), F.col("na") - 1 - F.col("pa")))
-    enough = F.col("m") + F.when((F.col("pa") < 65535) & (F.col("pb") < 65535), rest).otherwise(F.least("na", "nb")) >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-6
+    enough = F.col("m") + rest >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-6
     pairs = written(both.where(enough).select("a", "b"), "candidates")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("ck")).distinct()
-    few = needed.count() <= 200_000
-    sets = docs.select("ck", "sets").join(F.broadcast(needed) if few else needed, "ck", "left_semi").dropDuplicates(["ck"])
-    joined = (
-        pairs.join(sets.select(F.col("ck").alias("a"), F.col("sets").alias("sa")), "a")
-        .join(sets.select(F.col("ck").alias("b"), F.col("sets").alias("sb")), "b")
-        .select("a", "b", "sa", "sb")
-    )
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct()
+    sets = docs.select("no", "ck", "sets").join(_few(needed), "no", "left_semi")
+    side = lambda x: sets.select(F.col("no").alias(x), F.col("ck").alias(f"c{x}"), F.col("sets").alias(f"s{x}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("ca", "cb", "sa", "sb")
     return joined.mapInArrow(_verified(threshold), "a bigint, b bigint")

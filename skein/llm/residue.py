@@ -1,66 +1,54 @@
 """Template residue, filler and error text instead of content.
 
 Numbers, addresses and dates of a block are masked; blocks with the same
-normalised text form a group across all sources.  A group is a case if a
-placeholder or filler rule matches it, if it is as a whole one of the known
-kinds of message, or if it is short or the whole body of a page,
-speaks of failure and recurs on many sources.  Listings (pre) are not looked at.
+normalised text form a group across all sources.  A group is a case if its text
+holds a phrase of failure, of a script notice or of filler and it recurs, with
+different texts around it, on several sources; what people write about such
+things does not recur as a whole block.  A body that holds hardly anything but
+such a phrase, or nothing but one text of many sources, is a case as well.
+Unfilled slots, leaked program values and pseudo-Latin are found by placeholder
+rules.  Listings (pre) are not looked at.
 """
 
 from __future__ import annotations
 
 import re
 
-# --- fixed values: messages of servers, programs and unfinished pages ----------------------------
-
-MESSAGES = [
-    # not there
-    r"(?:error )?(?:404:? )?(?:page|file|document|site|resource|article|item) not found",
-    r"(?:404 )?not found",
-    r"the (?:page|item|file|document) you (?:are looking for|requested) (?:does not exist|could not be found|cannot be found|is gone)(?: or has been moved)?",
-    r"sorry, (?:we could not find|we can't find) what you asked for(?:\. check the address or go back to the start)?",
-    r"this (?:item|page|product|article) is no longer available",
-    r"seite nicht gefunden", r"die gewünschte (?:adresse|seite) gibt es nicht(?: mehr)?", r"fehler 404",
-    r"página no encontrada", r"la (?:dirección|página) solicitada no existe(?: o ha cambiado)?",
-    r"page (?:introuvable|non trouvée)", r"la page demandée n'existe pas(?: ou a été déplacée)?", r"cette page n'existe (?:pas|plus)",
-    r"сторінку не знайдено", r"такої (?:адреси|сторінки) немає(?: або її перенесено)?",
-    # not allowed
-    r"(?:error )?#? ?forbidden", r"access denied", r"you do not have permission to (?:open|access|view) this (?:resource|page|site)",
-    r"your session has expired\. log in to continue", r"too many requests(?: from your network\. wait # seconds)?",
-    r"checking your (?:connection|browser) before you proceed\. ray [\w#]+",
-    r"zugriff verweigert", r"acceso denegado", r"accès (?:refusé|interdit)", r"доступ заборонено",
-    # server faults and maintenance
-    r"error #", r"#", r"internal server error", r"(?:# )?service (?:temporarily )?unavailable", r"bad gateway(?:: no answer from upstream #)?", r"gateway timeout",
-    r"oops! something went wrong(?: on our side)?(?:\. please try again later)?", r"the server met an unexpected condition and could not complete your request",
-    r"this site is down for maintenance(?: and will be back soon)?", r"error establishing a database connection",
-    r"interner fehler(?: #)?", r"wegen wartungsarbeiten ist diese seite zurzeit nicht erreichbar",
-    r"error interno(?: #)?", r"sitio en mantenimiento, vuelva más tarde",
-    r"erreur interne(?: #)?", r"(?:ce )?site en maintenance(?:,? revenez plus tard)?", r"erreur #",
-    r"внутрішня помилка(?: #)?", r"помилка #", r"сайт на технічному обслуговуванні, зайдіть пізніше",
-    r"fatal error: .*", r"warning: \w+\(\): .*", r"traceback \(most recent call last\):? .*", r"[\w.]+(?:exception|error) at [\w.]+\(.*", r"(?:uncaught )?(?:type|reference|syntax)error: .*", r"parse error: .*",
-    # scripts required
-    r"please (?:enable|turn on|activate) (?:javascript|scripts) to (?:view|use) this (?:page|site|application)", r"javascript is (?:disabled|turned off)(?: in your browser)?",
-    r"you need to (?:allow|enable) (?:scripts|javascript) to (?:use|view) this (?:site|page)", r"this application needs (?:scripts|javascript) to run(?:\. turn them on and reload)?",
-    r"loading…? ?(?:if nothing happens, your browser may block active content)?",
-    r"bitte aktivieren sie javascript, um fortzufahren", r"diese anwendung braucht skripte im browser",
-    r"active javascript para continuar", r"(?:esta )?(?:aplicación|página) (?:necesita|requiere) (?:scripts|guiones|javascript).*",
-    r"veuillez activer javascript pour continuer", r"cette (?:application|page) (?:a besoin de|nécessite|requiert) (?:scripts|javascript|des scripts).*",
-    r"увімкніть javascript, щоб продовжити", r"для роботи сторінки потрібні скрипти у браузері",
-    # filler
-    r"your text goes here", r"heading goes here", r"insert (?:description|text|title) here", r"(?:text ){2,}text", r"(?:asdf ?|qwer ?){2,}", r"todo: .*", r"coming soon…?", r"this is a sample paragraph\. replace it with your own words",
-    r"beispieltext, bitte ersetzen", r"(?:blindtext ?){2,}", r"hier steht später ihr text", r"demnächst(?: hier| mehr)?…?", r"überschrift hier",
-    r"texto de ejemplo, por favor cámbielo", r"próximamente…?", r"(?:texto ){1,}texto", r"(?:aquí va )?su texto(?: va)? aquí", r"aquí va su texto", r"aquí irá su texto",
-    r"texte d'exemple,? .*", r"bientôt(?: disponible)?…?", r"(?:texte ){1,}texte", r"votre texte ici", r"ici (?:viendra|se trouvera) votre texte",
-    r"приклад тексту, замініть його", r"(?:текст ){2,}текст", r"тут буде ваш текст", r"незабаром…?", r"скоро…?",
+import ahocorasick
+
+# --- fixed values: phrases of messages, slots and filler ------------------------------------------
+
+#: Phrases of failure, denial, maintenance, faults and script notices.
+PHRASES = [
+    r"\b(?:page|file|document|site|resource|article|item|address) (?:was |is )?(?:not found|gone)\b", r"\bnot found\b", r"\b(?:does not|doesn't) exist\b", r"\b(?:could not|couldn't|cannot|can not|can't|can’t|could n't) (?:be )?(?:find|found|reach(?:ed)?|open(?:ed)?|load(?:ed)?|display(?:ed)?|connect|complete|process)\b", r"\bno longer available\b", r"\bhas been (?:moved|removed|deleted)\b",
+    r"\bforbidden\b", r"\b(?:access|permission) denied\b", r"\b(?:do not|don't) have (?:permission|access)\b", r"\bnot authori[sz]ed\b", r"\bhas expired\b", r"\btoo many requests\b", r"\bchecking (?:your|if the site) (?:connection|browser)?", r"^just a moment\b", r"^one moment\b", r"^please wait\b",
+    r"^error(?: code)?:? #", r"^(?:http )?# (?:error\b.*)?$", r"\b(?:internal|unexpected) (?:server )?(?:error|condition)\b", r"\bservice (?:is )?(?:temporarily )?unavailable\b", r"\b(?:bad gateway|gateway time-?out)\b", r"\bsomething went wrong\b", r"\b(?:down for|under|scheduled) maintenance\b", r"\berror establishing\b", r"\ban? (?:\w+ )?error (?:has )?occurred\b", r"\breported an error\b",
+    r"^(?:php )?(?:fatal|parse|syntax|type|reference|value|key|uncaught)? ?error:", r"^warning: \w+\(", r"^traceback \(most recent call", r"\b[\w.]+(?:exception|error) at [\w.$]+\(", r"^(?:uncaught )?\w*(?:error|exception): ",
+    r"\b(?:enable|turn on|activate|allow|needs?|requires?) (?:javascript|scripts)\b", r"\b(?:javascript|scripts?) (?:is|are) (?:disabled|turned off|required|blocked)\b", r"\bbrowser may block\b", r"^loading…",
+    r"\bnicht (?:gefunden|erreichbar|verfügbar|vorhanden)\b", r"\bgibt es nicht\b", r"\bzugriff verweigert\b", r"\bkeine berechtigung\b", r"\b(?:interner|unerwarteter) (?:fehler|serverfehler)\b", r"^fehler #", r"\bwartungsarbeiten\b", r"\b(?:aktivieren sie|braucht) (?:javascript|skripte)\b", r"\bjavascript ist deaktiviert\b",
+    r"\bno (?:encontrad[ao]|existe|disponible)\b", r"\b(?:acceso denegado|error interno)\b", r"\ben mantenimiento\b", r"\b(?:active|habilite|necesita|requiere) (?:javascript|scripts)\b", r"^error #",
+    r"\b(?:introuvable|non trouvée?)\b", r"\bn['’]existe (?:pas|plus)\b", r"\baccès (?:refusé|interdit)\b", r"\berreur (?:interne|#)", r"\ben maintenance\b", r"\b(?:activer|activez|besoin de|nécessite) (?:javascript|scripts|des scripts)\b",
+    r"\bне (?:знайдено|існує|знайдена)\b", r"\bтакої (?:адреси|сторінки) немає\b", r"\bдоступ заборонено\b", r"\bвнутрішня помилка\b", r"^помилка #", r"\bтехнічному обслуговуванні\b", r"\b(?:увімкніть|потрібен|потрібні) (?:javascript|скрипти)\b",
 ]
-#: Slots of template languages, and values that programs print when a slot is empty.
+#: Phrases of filler.
+FILLERS = [
+    r"\b(?:your|title|heading|text|description|content|name) (?:\w+ )?goes here\b", r"^(?:your|insert|add|enter|put) (?:\w+ )*here$", r"\bsample (?:text|paragraph|content|title)\b", r"\bplaceholder\b", r"\bdummy text\b", r"\breplace (?:it|this|me) with\b", r"^coming soon\b", r"^under construction\b", r"^todo\b", r"^tbd\b",
+    r"\b(?:beispiel|blind|platzhalter)text\b", r"^(?:hier|überschrift|titel|text|beschreibung) (?:\w+ )*(?:text|hier|titel|überschrift|beschreibung)\b", r"^demnächst\b",
+    r"\btexto de (?:ejemplo|muestra|relleno)\b", r"^(?:aquí )?(?:va |irá )?su (?:texto|título)\b", r"^próximamente\b",
+    r"\btexte (?:d['’]exemple|de remplissage)\b", r"^(?:ici )?(?:\w+ )*votre (?:texte|titre)\b", r"^bientôt\b",
+    r"\bприклад тексту\b", r"^тут (?:\w+ )*(?:текст|заголовок|опис)\b", r"^ваш текст\b", r"^(?:незабаром|скоро)\b",
+]
+#: Slots of template languages.
 SLOTS = [
-    r"\{\{[^{}\n]{1,60}\}\}", r"\{%[^%\n]{1,60}%\}", r"<%=?[^%\n]{1,60}%>", r"<\?=?[^?\n]{1,60}\?>", r"[$#]\{[^{}\n]{1,60}\}", r"(?<![\w{$#%])\{[A-Za-z_][\w.]{0,40}\}",
-    r"%%?[A-Za-z_][\w.]{1,40}%%?(?!\w)", r"%\([\w.]{1,40}\)[sd]", r"(?<!\w)__[A-Za-z][\w.]{0,40}?__(?!\w)", r"@Model\.[\w.]+", r"(?<![\w$])\$[A-Za-z_][\w.]*", r"\[\[[\w. ]{1,40}\]\]?", r"\[[\w.]{1,40}-HERE\]",
-    r"\[object Object\]", r"(?<!\w)(?:undefined|NaN|null|None)(?!\w)",
+    r"\{\{[^{}\n]{1,60}\}\}", r"\{%[^%\n]{1,60}%\}", r"<%=?[^%\n]{1,60}%>", r"<\?=?[^?\n]{1,60}\?>", r"[$#]\{[^{}\n]{1,60}\}",
+    r"%%[A-Za-z_][\w.]{1,40}%%(?!\w)", r"%\([\w.]{1,40}\)[sd]", r"(?<!\w)__[A-Za-z][\w.]{0,40}?__(?!\w)", r"@Model\.[\w.]+", r"\[\[[\w. ]{1,40}\]\]?", r"\[[\w.]{1,40}-HERE\]", r"\[object Object\]",
 ]
-#: Stems of failure for messages not listed above; only with wide recurrence.
-STEMS = r"\berror\b|\bnot found\b|forbidden|denied|unavailable|maintenance|javascript|expired|fehler\b|wartung|nicht erreichbar|mantenimiento|no disponible|erreur|indisponible|maintenance|помилка|недоступн|обслуговуванн"
+#: What prose holds too, and is a slot only with others beside it.
+WEAK_SLOTS = [r"(?<![\w{$#%])\{[A-Za-z_][\w.]{0,40}\}", r"(?<!%)%[A-Za-z_][\w.]{1,40}%(?![\w%])", r"(?<![\w$])\$[A-Za-z_][\w.]*"]
+#: Values that programs print when a slot is empty.
+VALUES = r"(?<![\w’'-])(?:undefined|NaN|null)(?![\w’'-])"
+#: A value that is a name or a word of prose as well.
+NAMELIKE = r"(?<![\w’'-])None(?![\w’'-])"
 LOREM = (
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud "
     "nostra exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis dui aute irure in reprehenderit voluptate velit vela esse cillum eu fugiat nulla pariatur "
@@ -68,20 +56,38 @@ LOREM = (
 )
 # --- end of fixed values --------------------------------------------------------------------------
 
-#: Sources on which an unlisted message must recur, and its longest form in words beside other text.
-WIDE_SOURCES, WIDE_WORDS = 10, 12
+#: Sources, and different surroundings, on which a text with a phrase must recur to be a message.
+WIDE_SOURCES = 3
+#: Sources on which a text without a phrase must recur as the only text of its body.
+ALONE_SOURCES = 10
+#: Words up to which a body counts as holding hardly anything beside a phrase.
+THIN_WORDS = 30
 
 _LOREM = {w[:k] for w in LOREM.split() for k in range(min(4, len(w)), len(w) + 1)}
-_MESSAGE = re.compile(r"(?:" + "|".join(f"(?:{m})" for m in MESSAGES) + r")", re.I)
+_BEGIN = re.compile(r"[\s.!?…:;,–—-]*+(?:" + "|".join(f"(?:{p[1:]})" for p in PHRASES + FILLERS if p.startswith("^")).replace("#", r"\d+") + ")")
+_WITHIN = re.compile("|".join(f"(?:{p})" for p in PHRASES + FILLERS if not p.startswith("^")).replace("#", r"\d+"))
+#: Every phrase that may stand within a text holds one of these.
+_HINTS = (
+    "found", "gone", "exist", "could", "can't", "can’t", "cannot", "can not", "no longer", "has been", "forbidden", "denied", "have permission", "don't have", "have access", "not author", "expired", "too many", "checking", "internal", "unexpected", "unavailable", "gateway", "went wrong", "maintenance", "error", "exception", "javascript", "script", "browser may",
+    "nicht ", "gibt es", "verweigert", "berechtigung", "fehler", "wartung", "skripte", "encontrad", "no existe", "no disponible", "denegado", "mantenimiento", "introuvable", "non trouv", "existe p", "refusé", "interdit", "erreur", "не ", "немає", "заборонено", "помилка", "обслуговуванні", "скрипти",
+    "goes here", "sample ", "placeholder", "dummy", "replace ", "beispieltext", "blindtext", "platzhaltertext", "texto de", "texte d", "приклад",
+)
 _SLOT = re.compile("|".join(SLOTS))
-_STEM = re.compile(STEMS, re.I)
-#: Every slot holds one of these, and every filler text one of those.
-_SLOT_HINT = re.compile(r"[{%<@$\[]|__|undefined|NaN|null|None")
-_FILLER_HINT = ("lorem", "ipsum", "dolor", "amet", "elit", "tempor", "magna", "aliqua", "veniam", "venia", "quis", "nulla", "irur", "volup", "sint", "enim", "labor")
+_WEAK = re.compile("|".join([*WEAK_SLOTS, VALUES, NAMELIKE]))
+_NAMELIKE = re.compile(NAMELIKE)
+#: Every pseudo-Latin text holds one of these, and every slot or value one of those.
+_LOREM_HINTS = ("lorem", "ipsum", "dolor", "amet", "elit", "tempor", "magna", "aliqua", "veniam", "venia", "quis", "nulla", "irur", "volup", "sint", "enim", "labor")
+_SLOT_HINTS = ("{", "%", "<", "@", "$", "[", "__", "undefined", "nan", "null", "none")
 _WORD = re.compile(r"[^\W\d_]+")
 _DATE = re.compile(r"\b\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d(?::\d\d)?)?\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b")
 _ADDRESS = re.compile(r"\bhttps?://\S+|(?<![\w.+-])[\w.+-]++@[\w-]+\.[\w.]+|\b\d{1,3}(?:\.\d{1,3}){3}\b")
 _NUMBER = re.compile(r"\d+")
+_HINTED = ahocorasick.Automaton()
+_PHRASE_BIT, _LOREM_BIT, _SLOT_BIT = 1, 2, 4
+for _hints, _bit in ((_HINTS, _PHRASE_BIT), (_LOREM_HINTS, _LOREM_BIT), (_SLOT_HINTS, _SLOT_BIT)):
+    for _hint in _hints:
+        _HINTED.add_word(_hint, _HINTED.get(_hint, 0) | _bit)
+_HINTED.make_automaton()
 _EDGE = re.compile(r"^[\s.!?…:;,–—-]+|(?<![\s.!?:;,–—-])[\s.!?:;,–—-]+$")
 
 
@@ -94,35 +100,77 @@ def masked(text: str) -> str:
     return _EDGE.sub("", text.lower())
 
 
-def is_filler(text: str) -> bool:
+def hints(low: str) -> int:
+    """Which rules may apply to a lower-case text, as bits."""
+    bits = 0
+    for _, bit in _HINTED.iter(low):
+        bits |= bit
+    return bits
+
+
+def is_lorem(low: str) -> bool:
     """Five words or more, most of them of the usual pseudo-Latin."""
-    low = text.lower()
-    if not any(h in low for h in _FILLER_HINT):
-        return False
     words = _WORD.findall(low)
     return len(words) >= 5 and sum(w in _LOREM for w in words) * 10 >= len(words) * 6
 
 
-def has_slot(text: str) -> bool:
-    """An unfilled slot or a leaked program value."""
-    return _SLOT_HINT.search(text) is not None and _SLOT.search(text) is not None
-
-
-def is_message(mask: str) -> bool:
-    """A masked text, of any length, that is as a whole one of the known messages."""
-    return mask != "#" and _MESSAGE.fullmatch(mask) is not None
-
-
-def may_be_message(mask: str, alone: bool = False) -> bool:
-    """Text that speaks of failure, short or ``alone`` in its body; a case only if it recurs widely."""
-    return (alone or mask.count(" ") < WIDE_WORDS) and _STEM.search(mask) is not None
-
-
-def residue_kind(text: str, mask: str | None = None) -> str | None:
-    """``slot``, ``filler``, ``message`` or None for a block outside listings."""
-    if has_slot(text):
-        return "slot"
-    mask = masked(text) if mask is None else mask
-    if is_message(mask):
-        return "message"
-    return "filler" if is_filler(text) else None
+def has_slots(texts: list[str]) -> bool:
+    """An unfilled slot or a leaked program value in any of the texts of a body.
+
+    A value counts where prose has none: as the beginning of a text, twice in a
+    row, or more than once in a body.  Shapes that prose has too (``$NAME``,
+    ``{name}``) count from two different ones on, ``None`` only beside others.
+    """
+    weak: list[str] = []
+    for t in texts:
+        if _SLOT.search(t):
+            return True
+        for m in _WEAK.finditer(t):
+            x = m.group()
+            if x in ("undefined", "null", "NaN"):
+                if (m.start() == 0 and x != "NaN" and t != x) or t[m.end() :].startswith(" " + x):
+                    return True
+            weak.append(x)
+    values = [x for x in weak if x in ("undefined", "null", "NaN")]
+    return len(values) > 1 or len(set(weak)) > 1
+
+
+def is_repetition(low: str) -> bool:
+    """Three words or more, all the same, or four of which at most half are different and the first comes again."""
+    first = low.split(" ", 1)[0]
+    if not first.isalpha() or low.count(first) < 3 and low.count(first) * 2 < low.count(" "):
+        return False
+    words = low.rstrip(" .!?…").split()
+    different = len(set(words))
+    return len(words) >= 3 and (different == 1 or different * 2 <= len(words)) and all(w.isalpha() for w in words)
+
+
+def has_phrase(low: str, bits: int | None = None) -> bool:
+    """A lower-case text, of any length, with a phrase of a message or of filler."""
+    if _BEGIN.match(low) or is_repetition(low):
+        return True
+    return bool((hints(low) if bits is None else bits) & _PHRASE_BIT) and _WITHIN.search(low) is not None
+
+
+def judge(texts: list[str], empty: bool) -> tuple[str | None, list[str]]:
+    """What rules say of a body's texts outside listings, and its texts with phrases, masked, that recurrence decides.
+
+    ``slot``, ``filler``, or ``message`` for a body of a phrase and hardly
+    anything else, or of one text that begins with a phrase; ``empty`` says that no text was found to be content.
+    """
+    slots, phrases, n_words = [], [], 0
+    for t in texts:
+        low = t.lower()
+        bits = hints(low)
+        if bits & _LOREM_BIT and is_lorem(low):
+            return "filler", []
+        if bits & _SLOT_BIT:
+            slots.append(t)
+        if has_phrase(low, bits):
+            phrases.append(t)
+        n_words += t.count(" ") + 1
+    if slots and has_slots(slots):
+        return "slot", []
+    if phrases and (empty or n_words <= THIN_WORDS or (len(texts) == 1 and _BEGIN.match(texts[0].lower()))):
+        return "message", []
+    return None, [masked(t) for t in dict.fromkeys(phrases)]
