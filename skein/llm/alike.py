@@ -185,29 +185,32 @@ def _prefixes(threshold: float):
 
 
 def _matches(threshold: float):
-    """Matches of prefixes within a region: for each pair how many, and the furthest places."""
+    """Matches of prefixes within a region: for each pair (the smaller class, or number, first) how many, and the furthest places."""
 
     def work(_: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         key, h = np.concatenate([ungaps(r[0]) for r in rows]), np.concatenate([np.frombuffer(r[1], np.uint32) for r in rows])
         size, p = np.concatenate([np.frombuffer(r[2], np.int32) for r in rows]).astype(np.int64), np.concatenate([np.frombuffer(r[3], np.uint8) for r in rows])
         p = (p * size // 256).astype(np.int32)
-        # By hash, then by size: the larger partners of an entry follow it.
-        order = np.lexsort((size, h))
+        # By hash, then by size: the larger partners of an entry follow it, as far as they may be alike.
+        order = np.lexsort((key, size, h))
         key, size, h, p = key[order], size[order], h[order], p[order]
         classes, key = np.unique(key, return_inverse=True)
-        fan = np.searchsorted(h, h, side="right") - np.arange(len(h)) - 1
-        start, held = 0, []
+        both = h.astype(np.int64) << 31 | size
+        last = np.searchsorted(both, h.astype(np.int64) << 31 | np.floor(size / threshold + 1e-9).astype(np.int64), side="right")
+        # The first hash that alike classes share stands in the shorter prefix of the smaller one.
+        fan = np.where(p < size - np.ceil(2 * threshold / (1 + threshold) * size - 1e-9) + 1, last - np.arange(len(h)) - 1, 0)
+        start, held = 0, [_summed(*(np.empty(0, np.int64),) * 6)]
         while start < len(h):
             total = np.cumsum(fan[start : start + 500_000])
             stop = start + max(1, int(np.searchsorted(total, PAIR_CHUNK, side="right")))
             f = fan[start:stop]
             left = np.repeat(np.arange(start, min(stop, len(h))), f)
             right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(f) - f, f)
-            ok = (size[right] * threshold <= size[left] + 1e-9) & (key[left] != key[right])
+            # Shared hashes before this one are no more than the places before it, those after it no more than the places left.
+            ahead = np.minimum(p[left] + size[left] // 256, p[right] + size[right] // 256) + 1
+            ok = (ahead + 1 + np.minimum(size[left] - p[left], size[right] - p[right]) >= (size[left] + size[right]) * (threshold / (1 + threshold))) & (key[left] != key[right])
             left, right = left[ok], right[ok]
-            swap = key[left] > key[right]
-            a, b = np.where(swap, right, left), np.where(swap, left, right)
-            held.append(_summed(key[a] * len(classes) + key[b], np.ones(len(a), np.int32), p[a], p[b], size[a], size[b]))
+            held.append(_summed(key[left] * len(classes) + key[right], np.ones(len(left), np.int64), p[left], p[right], size[left], size[right]))
             if sum(len(x[0]) for x in held) > 4 * PAIR_CHUNK:
                 held = [_summed(*(np.concatenate(x) for x in zip(*held)))]
             start = stop
@@ -269,9 +272,10 @@ def alike_classes(docs: DataFrame, threshold: float) -> DataFrame:
     prefixes = grouped(shared, "c").mapInArrow(_prefixes(threshold), "r int, no binary, h binary, size binary, p binary")
     matches = grouped(prefixes, "r").mapInArrow(_matches(threshold), "a bigint, b bigint, m int, pa int, pb int, na int, nb int")
     both = matches.groupBy("a", "b").agg(F.sum("m").alias("m"), *[F.max(c).alias(c) for c in ("pa", "pb", "na", "nb")])
-    # What is not matched yet lies behind the last match and behind the prefix that ends first.
-    after = lambda n: F.ceil(F.col(n) * threshold - 1e-9) - 1
-    rest = F.greatest(F.least(after("na"), F.col("nb") - 1 - F.col("pb")), F.least(after("nb"), F.col("na") - 1 - F.col("pa")))
+    # What is not matched yet lies behind the last match and behind the prefix that ends first; the smaller one's is shorter.
+    behind_a = F.ceil(F.col("na") * (2 * threshold / (1 + threshold)) - 1e-9) - 1
+    behind_b = F.ceil(F.col("nb") * threshold - 1e-9) - 1
+    rest = F.greatest(F.least(behind_a, F.col("nb") - 1 - F.col("pb")), F.least(behind_b, F.col("na") - 1 - F.col("pa")))
     enough = F.col("m") + rest >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-6
     pairs = written(both.where(enough).select("a", "b"), "candidates")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("no")).distinct()

@@ -22,6 +22,8 @@ from skein.shared import written
 SAMPLE_SITES, SAMPLE_PAGES = 100, 40
 #: Recurring texts up to which their verdicts are broadcast (some 100 bytes each).
 BROADCAST_GROUPS = 100_000
+#: Ids of pages with a recurring message up to which they are broadcast (8 bytes each).
+BROADCAST_IDS = 1_000_000
 #: Parts into which a join with a frequent text is split.
 SALTS = 16
 #: Members of a class of equal bodies that are joined at a time.
@@ -172,7 +174,9 @@ def residue_pages(responses: DataFrame, **names: str) -> DataFrame:
 def clean_bodies(responses: DataFrame, *, shingle: int = 0, **names: str) -> DataFrame:
     """Bodies (see :func:`page_bodies`) of the responses that are no residue, written once."""
     bodies = written(page_bodies(responses, block_model(responses, **names), shingle=shingle, **names).withColumn("no", F.monotonically_increasing_id()), "bodies")
-    return bodies.where(F.col("kind").isNull()).join(_recurring(bodies), "id", "left_anti")
+    messages = written(_recurring(bodies), "messages")
+    few = messages.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return bodies.where(F.col("kind").isNull()).join(F.broadcast(messages) if few else messages, "id", "left_anti")
 
 
 def body_blocks(responses: DataFrame, **names: str) -> DataFrame:

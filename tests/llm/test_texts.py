@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.abuse import CharModel, _grams, char_model, frequent_words, restored_words, scored_documents, word_counts
 from skein.llm.copies import canonical_address, formatting_copies
-from skein.llm.leaks import fingerprints, leaked_items
+from skein.llm.leaks import fingerprints, leaked_items, window_size
 from skein.llm.mixing import mixture_report, mixture_schedule, source_name
 
 
@@ -48,6 +48,41 @@ def test_leaks_against_brute_force(spark):
     assert leaked_items(df.limit(0), it).count() == 0 and leaked_items(df, it.limit(0)).count() == 0
 
 
+def test_edited_items(spark):
+    """Windows of whole items find edited copies that no 13 equal words betray; the radius decides how many."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(3000)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(14, 60)))) for k in range(60)] + [(98, None), (99, "too short")]
+    docs, edited = [], {}
+    for k in range(240):
+        q = items[k % 60][1].split()
+        for at in range(rng.randrange(5, 11), len(q), 24):
+            q[at] = rng.choice(words)
+        t = [rng.choice(words) for _ in range(60)]
+        t[30:30] = q
+        docs.append((k, " ".join(t)))
+        edited[k] = q
+
+    def share(text, q):  # of the item's five-word runs, weighted by their rarity (here all the same)
+        a, b = text.split(), q.split()
+        runs = {tuple(a[i : i + 5]) for i in range(len(a) - 4)}
+        mine = [tuple(b[i : i + 5]) for i in range(len(b) - 4)]
+        return sum(x in runs for x in mine) / len(mine)
+
+    want = {(k, k % 60) for k, t in docs if share(t, items[k % 60][1]) >= 0.7}
+    df, it = spark.createDataFrame([*docs, (900, None), (901, "")], "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, question string")
+    found = {r: {tuple(x) for x in leaked_items(df, it, size=None, radius=r, similarity=0.7).collect()} for r in (0, 10)}
+    exact = {tuple(x) for x in leaked_items(df, it).collect()}
+    assert found[10] <= want and len(found[10]) >= 0.9 * len(want) > 50 and len(found[0]) < 0.5 * len(want)
+    assert len(found[10] - exact) > 5
+    assert {tuple(x) for x in leaked_items(df, it, size=None, radius=10, similarity=0.7, indexed_words=500).collect()} >= {p for p in found[10] if share(docs[p[0]][1], items[p[1]][1]) > 0.75}
+    assert leaked_items(df.limit(0), it, size=None).count() == 0 and leaked_items(df, it.limit(0), size=None).count() == 0
+
+
+def test_window_sizes():
+    assert [window_size(n) for n in (5, 6, 7, 9, 40, 84)] == [5, 6, 7, 8, 33, 78]
+
+
 def test_fingerprints_are_majorities():
     import numpy as np
 
