@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from skein.functions.text import MAX_DESCRIPTION, MAX_H1, MAX_KEYWORDS, MAX_TITLE, clean_text, truncated
+from skein.functions.text import MAX_DESCRIPTION, MAX_H1, MAX_KEYWORDS, MAX_TITLE, clean_text, truncated, unescaped
 
 # --- fixed values: patterns and lists of the extractors -------------------------------------------
 EMAIL = r"\b[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"
@@ -37,6 +37,16 @@ PRICES = [
     (r"\d+[kK]?\s*[-–—]\s*\d+[kK]?\s*(?:USD|dollars?)", "USD_RANGE"),
 ]
 CHALLENGE_FORM = r'<form .*?="challenge-form" action="/\S+__cf_chl_f_tk='
+CHALLENGE_SCRIPT = r"""cpo.src\s*=\s*['"/]cdn-cgi/challenge-platform/\S+orchestrate/{kind}/v1"""
+CHALLENGE_TRACES = ("/cdn-cgi/images/trace/jsch/", "/cdn-cgi/images/trace/(?:captcha|managed)/")
+FIREWALL_CODE = '<span class="cf-error-code">1020</span>'
+CAPTCHAS = [
+    ("recaptcha_v2", r"""(?i)g-recaptcha["\s]+.*?data-sitekey=["']([^"']+)"""),
+    ("recaptcha_v3", r"""grecaptcha\.execute\(["']([^"']+)["']"""),
+    ("hcaptcha", r"""(?i)h-captcha["\s]+.*?data-sitekey=["']([^"']+)"""),
+    ("funcaptcha", r"""(?is)data-callback=["']setupCaptcha["'].*?data-public-key=["']([^"']+)"""),
+]
+GEETEST = "geetest|gt-captcha"
 TURNSTILE = [r"challenges\.cloudflare\.com/turnstile", "cf-turnstile", r"data-sitekey.*turnstile", r"turnstile/v0/api\.js"]
 # --- end of fixed values --------------------------------------------------------------------------
 
@@ -70,9 +80,31 @@ def prices(c: Column) -> Column:
     return F.filter(every, lambda s, i: F.array_position(F.transform(every, lambda t: t["value"]), s["value"]) == i + 1)
 
 
+def _markup(html: Column) -> Column:
+    """Markup whose tags are elements: without comments, scripts and styles."""
+    t = F.coalesce(html, F.lit(""))
+    return F.regexp_replace(t, r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", " ")
+
+
+def _tags(html: Column, name: str) -> Column:
+    """Opening tags of an element, whole, in order."""
+    return F.regexp_extract_all(_markup(html), F.lit(rf"""(?is)<{name}\s(?:[^>"']|"[^"]*"|'[^']*')*>"""), F.lit(0))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of a tag, quoted or not, decoded; null if the tag has none."""
+    pattern = rf"""(?is)^<[a-z0-9]+(?:\s+(?!{name}[\s=])[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]*))?|\s*/)*\s+{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.when(tag.rlike(pattern), unescaped(F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])))
+
+
 def hrefs(html: Column) -> Column:
-    """Values of href of all anchors, in order, repeated ones kept."""
-    return F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)')"""), F.lit(0)), lambda a: F.regexp_extract(a, r"""(?i)href\s*=\s*["']([^"']*)["']$""", 1))
+    """Values of href of all anchors that have one, in order, repeated ones kept."""
+    return F.filter(F.transform(_tags(html, "a"), lambda t: attribute(t, "href")), lambda h: h.isNotNull())
+
+
+def sources(html: Column, element: str) -> Column:
+    """Values of src of all ``img`` or ``iframe`` elements, in order."""
+    return F.filter(F.transform(_tags(html, element), lambda t: attribute(t, "src")), lambda h: h.isNotNull() & (h != ""))
 
 
 def page_title(html: Column) -> Column:
@@ -87,10 +119,22 @@ def page_h1(html: Column) -> Column:
 
 
 def meta_content(html: Column, name: str, most: int) -> Column:
-    t = clean_text(F.regexp_extract(html, rf"""(?is)<meta\s+name=["']{name}["']\s+content=["']([^"']*)["']""", 1))
+    """Content of the last meta element of a name, whatever the order of its attributes."""
+    named = F.filter(_tags(html, "meta"), lambda t: attribute(t, "name") == name)
+    t = clean_text(attribute(F.get(named, F.size(named) - 1), "content"))
     return F.when(t != "", truncated(t, most))
 
 
+def canonical_url(html: Column) -> Column:
+    """Address of the first canonical link element; null if there is none."""
+    return attribute(F.get(F.filter(_tags(html, "link"), lambda t: F.lower(attribute(t, "rel")) == "canonical"), F.lit(0)), "href")
+
+
+def page_language(html: Column) -> Column:
+    """Language of the html element; null if it has none."""
+    return F.nullif(attribute(F.get(_tags(html, "html"), F.lit(0)), "lang"), F.lit(""))
+
+
 def page_metadata(html: Column) -> Column:
     """Struct of title, description, keywords and h1; null where absent."""
     return F.struct(page_title(html).alias("title"), meta_content(html, "description", MAX_DESCRIPTION).alias("description"), meta_content(html, "keywords", MAX_KEYWORDS).alias("keywords"), page_h1(html).alias("h1"))
@@ -105,11 +149,11 @@ def challenge_kind(html: Column, status: Column, headers: Column) -> Column:
     """Kind of a bot challenge, ``none`` if there is none; only of servers that name the CDN."""
     text = F.coalesce(html, F.lit(""))
     form = text.rlike("(?ms)" + CHALLENGE_FORM)
-    iuam = status.isin(429, 503) & text.contains("/cdn-cgi/images/trace/jsch/") & form
-    captcha = (status == 403) & text.rlike("/cdn-cgi/images/trace/(?:captcha|managed)/") & form
-    v2 = lambda kind: text.rlike(rf"""cpo.src\s*=\s*['"/]cdn-cgi/challenge-platform/\S+orchestrate/{kind}/v1""")
+    iuam = status.isin(429, 503) & text.contains(CHALLENGE_TRACES[0]) & form
+    captcha = (status == 403) & text.rlike(CHALLENGE_TRACES[1]) & form
+    v2 = lambda kind: text.rlike(CHALLENGE_SCRIPT.format(kind=kind))
     kind = (
-        F.when((status == 403) & text.contains('<span class="cf-error-code">1020</span>'), "firewall_1020")
+        F.when((status == 403) & text.contains(FIREWALL_CODE), "firewall_1020")
         .when(captcha & v2("(?:captcha|managed)"), "captcha_v2")
         .when(captcha, "captcha_v1")
         .when(text.rlike("(?i)" + "|".join(TURNSTILE)), "turnstile")
@@ -123,14 +167,8 @@ def challenge_kind(html: Column, status: Column, headers: Column) -> Column:
 def captcha_kind(html: Column) -> Column:
     """Struct of captcha type and site key, null if there is none."""
     text = F.coalesce(html, F.lit(""))
-    rules = [
-        ("recaptcha_v2", r"""(?i)g-recaptcha["\s]+.*?data-sitekey=["']([^"']+)"""),
-        ("recaptcha_v3", r"""grecaptcha\.execute\(["']([^"']+)["']"""),
-        ("hcaptcha", r"""(?i)h-captcha["\s]+.*?data-sitekey=["']([^"']+)"""),
-        ("funcaptcha", r"""(?is)data-callback=["']setupCaptcha["'].*?data-public-key=["']([^"']+)"""),
-    ]
     out = None
-    for name, pattern in rules:
+    for name, pattern in CAPTCHAS:
         hit = F.struct(F.lit(name).alias("captcha_type"), F.regexp_extract(text, pattern, 1).alias("site_key"))
         out = F.when(text.rlike(pattern), hit) if out is None else out.when(text.rlike(pattern), hit)
-    return out.when(F.lower(text).rlike("geetest|gt-captcha"), F.struct(F.lit("geetest").alias("captcha_type"), F.lit("").alias("site_key")))
+    return out.when(F.lower(text).rlike(GEETEST), F.struct(F.lit("geetest").alias("captcha_type"), F.lit("").alias("site_key")))

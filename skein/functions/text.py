@@ -35,7 +35,22 @@ def content_hash(text: Column, stage: Column | None = None) -> Column:
     return h if stage is None else F.when(stage == "html_stage", h)
 
 
-def visible_text(html: Column) -> Column:
-    """Text of the markup without tags, scripts and styles included in the source left out, collapsed."""
-    t = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)\s*>", " ")
-    return clean_text(F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " "))
+def unescaped(c: Column) -> Column:
+    """Character references of the markup signs, of quotes and of the hard blank decoded."""
+    for names, sign in ((("&lt;", "&#60;", "&#x3c;"), "<"), (("&gt;", "&#62;", "&#x3e;"), ">"), (("&quot;", "&#34;", "&#x22;"), '"'), (("&apos;", "&#39;", "&#x27;"), "'"), (("&nbsp;", "&#160;", "&#xa0;"), "\u00a0"), (("&amp;", "&#38;", "&#x26;"), "&")):
+        for name in names:
+            c = F.replace(c, F.lit(name), F.lit(sign))
+    return c
+
+
+def visible_text(html: Column, scripts: bool = True) -> Column:
+    """Text of the markup without tags and comments, collapsed; ``scripts`` says whether that of scripts and styles counts."""
+    t = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
+    if not scripts:
+        t = F.regexp_replace(t, r"(?is)<(script|style)\b.*?</(script|style)\s*>", " ")
+    return clean_text(unescaped(F.regexp_replace(t, r"(?s)<[a-zA-Z/!?][^>]*>", " ")))
+
+
+def page_text(html: Column) -> Column:
+    """Visible text, cut at ``MAX_TEXT`` characters."""
+    return truncated(visible_text(html), MAX_TEXT)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.schema import EDGES, NODES
+from skein.shared import salted_join
 
 STRATEGIES = {
     "first": "the left graph's node",
@@ -78,7 +79,7 @@ def merged_node(strategy: str, left: Callable[[str], Column], right: Callable[[s
     return {c: special[c](c) if c in special else left(c) for c in columns}
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class WebGraph:
     """Nodes and edges; other columns than the schema's are passed through."""
 
@@ -86,6 +87,19 @@ class WebGraph:
     edges: DataFrame
     default_strategy: str = "last"
 
+    def __post_init__(self) -> None:
+        _check(self.default_strategy)
+
+    def with_strategy(self, name: str) -> WebGraph:
+        """The same graph with another default strategy of unions."""
+        return replace(self, default_strategy=name)
+
+    @classmethod
+    def from_json_rows(cls, rows: DataFrame) -> WebGraph:
+        """Graph from the texts of :meth:`to_json_rows`."""
+        read = lambda kind, schema: rows.where(F.col("kind") == kind).select(F.from_json("row", schema).alias("r")).select("r.*")
+        return cls(read("node", NODES), read("edge", EDGES))
+
     @classmethod
     def empty(cls, spark) -> WebGraph:
         return cls(spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES))
@@ -112,6 +126,27 @@ class WebGraph:
     def __contains__(self, url: str) -> bool:
         return not self.node_by_url(url).isEmpty()
 
+    def __iter__(self):
+        """Rows of the nodes, partition by partition."""
+        return self.nodes.toLocalIterator()
+
+    def __getitem__(self, key: str | int):
+        """The node of a url, or at a place in the order of creation and id; KeyError or IndexError if there is none."""
+        if isinstance(key, int):
+            row = self.nodes.orderBy("created_at", "node_id").offset(key).limit(1).head(1) if key >= 0 else []
+            if not row:
+                raise IndexError(key)
+            return row[0]
+        row = self.node_by_url(key).head(1)
+        if not row:
+            raise KeyError(key)
+        return row[0]
+
+    def has_edges(self, pairs: DataFrame) -> DataFrame:
+        """``pairs(source_node_id, target_node_id)`` with ``linked``: whether the graph has such an edge."""
+        known = self.edges.select("source_node_id", "target_node_id").distinct().withColumn("linked", F.lit(True))
+        return pairs.join(known, ["source_node_id", "target_node_id"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+
     # --- change -----------------------------------------------------------------------------------
     def add_nodes(self, new: DataFrame, overwrite: bool = False) -> WebGraph:
         """New urls are added; of known ones the old node stays, or its values are replaced under the old id."""
@@ -129,7 +164,7 @@ class WebGraph:
         ids = ids.select("node_id").distinct()
         edges = self.edges
         for end in ("source_node_id", "target_node_id"):
-            edges = edges.join(ids.select(F.col("node_id").alias(end)), end, "left_anti").select(*self.edges.columns)
+            edges = salted_join(edges, ids.select(F.col("node_id").alias(end)), end, "left_anti").select(*self.edges.columns)
         return replace(self, nodes=self.nodes.join(ids, "node_id", "left_anti"), edges=edges)
 
     def handle_redirects(self, redirects: DataFrame) -> WebGraph:
@@ -193,7 +228,7 @@ class WebGraph:
         edges = self.edges
         for end in ("source_node_id", "target_node_id"):
             names = self.nodes.select(F.col("node_id").alias(end), "url").join(ids, "url").select(end, "new_id")
-            edges = edges.join(names, end).withColumn(end, F.col("new_id")).drop("new_id")
+            edges = salted_join(edges, names, end).withColumn(end, F.col("new_id")).drop("new_id")
         return edges.select(*self.edges.columns)
 
     def difference(self, other: WebGraph) -> WebGraph:
@@ -232,6 +267,11 @@ class WebGraph:
     def is_supergraph(self, other: WebGraph, strict: bool = False) -> bool:
         return other.is_subgraph(self, strict)
 
+    def __eq__(self, other: object) -> bool:
+        return self.same_urls(other) if isinstance(other, WebGraph) else NotImplemented
+
+    __hash__ = object.__hash__
+
     def __le__(self, other: WebGraph) -> bool:
         return self.is_subgraph(other)
 
@@ -265,7 +305,7 @@ class WebGraph:
 def _induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     out = edges
     for end in ("source_node_id", "target_node_id"):
-        out = out.join(nodes.select(F.col("node_id").alias(end)), end, "left_semi").select(*edges.columns)
+        out = salted_join(out, nodes.select(F.col("node_id").alias(end)), end, "left_semi").select(*edges.columns)
     return out
 
 

@@ -221,7 +221,7 @@ def _spread(marks: DataFrame, arcs: DataFrame) -> DataFrame:
     return now
 
 
-def _strong_wide(arcs: DataFrame, finish_arcs: int) -> DataFrame | None:
+def strong_components(arcs: DataFrame, finish_arcs: int) -> DataFrame | None:
     """Strong components with several members, ``(node, part)``; None if there is none.
 
     What has no link in or no link out is on no cycle and is trimmed; each node
@@ -257,7 +257,7 @@ def _finish_wide(state: DataFrame, arcs: DataFrame, loops: DataFrame, n: int, fi
     The members of a strong component reach the same nodes, so pairs are made
     between components only.
     """
-    strong = _strong_wide(arcs, finish_arcs)
+    strong = strong_components(arcs, finish_arcs)
     named = state.select("node", "below")
     named = named.withColumn("part", F.col("node")) if strong is None else named.join(strong.withColumnRenamed("part", "k"), "node", "left").select("node", "below", F.coalesce("k", "node").alias("part"))
     named = written(named, "parts")
@@ -405,3 +405,16 @@ def hierarchy_paths(links: DataFrame, levels: DataFrame, *, parent: str = "sourc
         paths = written(chosen.where(F.col("level_no") == k).join(paths.select(F.col("node_id").alias("p"), "path"), "p").select("node_id", F.concat("path", F.array("node_id")).alias("path")), "paths")
         out = out.unionByName(paths)
     return out
+
+
+def descendants(links: DataFrame, *, parent: str = "source_node_id", child: str = "target_node_id") -> DataFrame:
+    """All descendants of every node: distinct ``(node_id, descendant_id, steps)``, ``steps`` the least number of links.
+
+    Ids and rows count as in :func:`hierarchy`; a node is no descendant of
+    itself, also on a cycle.  A round doubles the steps, so that there are about
+    the logarithm of the height of them.  The result grows with the sum of the
+    levels (and with the square of a strong component), as its definition asks.
+    """
+    arcs = written(links.select(clean_id(F.col(parent)).alias("a"), clean_id(F.col(child)).alias("b")).where("a is not null and b is not null and a != b").distinct(), "arcs")
+    reach = _closure(arcs, parts_for(arcs.count()))
+    return reach.where("a != b").select(F.col("a").alias("node_id"), F.col("b").alias("descendant_id"), F.col("dist").cast("int").alias("steps"))

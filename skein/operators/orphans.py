@@ -2,8 +2,8 @@
 
 Method: keys are range-partitioned (ranges of a 64-bit hash of the key, so that
 any key distribution gives even ranges), the parents of a range are stored as
-sorted arrays, and batches of reference keys are probed by vectorised binary
-search.  References are collapsed to one row per distinct key before they are
+arrays sorted by that hash, batches of reference keys are probed by vectorised
+binary search, and hits are compared by the key itself.  References are collapsed to one row per distinct key before they are
 shuffled, so no key is hot; only keys with a miss go back to the referring rows.
 """
 
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,9 @@ PARENTS_PER_RANGE = 100_000
 #: Offending keys up to which they are broadcast to the referring rows (about 70 bytes each).
 BROADCAST_KEYS = 200_000
 
+#: Referring rows of one key that one task should join.
+ROWS_PER_TASK = 200_000
+
 _LONG_MIN = -(2**63)
 
 
@@ -31,10 +35,9 @@ def _micros(ts: Column) -> Column:
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by range, parents first: keep a range's sorted arrays, probe what follows."""
-    current, keys, born, gone = None, None, None, None
-    for batch in batches:
-        t = batch
+    """Rows come by range, parents first: keep a range's arrays, sorted by hash, and probe what follows."""
+    current, hashes, keys, born, gone = None, np.empty(0, np.int64), None, None, None
+    for t in batches:
         if t.num_rows == 0:
             continue
         ranges = t.column(0).to_numpy(zero_copy_only=False)
@@ -42,26 +45,31 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.flatnonzero(np.diff(ranges) | np.diff(is_parents.astype(np.int8)) | is_parents[1:]) + 1
         for lo, hi in zip([0, *edges], [*edges, len(ranges)]):
             if is_parents[lo]:
-                row = t.slice(lo, 1)
                 current = ranges[lo]
-                keys = np.asarray(row.column(2)[0].as_py(), dtype=object)
-                born, gone = (np.array([_LONG_MIN if x is None else x for x in row.column(i)[0].as_py()], dtype=np.int64) for i in (3, 4))
+                held = t.column(2)[lo].values
+                hashes, keys = held.field("h").to_numpy(), held.field("id")
+                born, gone = (held.field(c).fill_null(_LONG_MIN).to_numpy() for c in ("born", "gone"))
                 continue
-            ids, low, high = (t.column(i).slice(lo, hi - lo) for i in (5, 6, 7))
-            ids_np = np.asarray(ids.to_pylist(), dtype=object)
-            n = len(ids_np)
+            h, ids, low, high, n_rows = (t.column(i).slice(lo, hi - lo) for i in range(3, 8))
+            h, low, high = h.to_numpy(zero_copy_only=False), low.fill_null(_LONG_MIN).to_numpy(), high.fill_null(_LONG_MIN).to_numpy()
+            n = len(h)
             found, b, g = np.zeros(n, bool), np.full(n, _LONG_MIN), np.full(n, _LONG_MIN)
-            if current == ranges[lo] and len(keys):
-                at = np.minimum(np.searchsorted(keys, ids_np), len(keys) - 1)
-                found = keys[at] == ids_np
-                b[found], g[found] = born[at[found]], gone[at[found]]
-            low, high = (np.array([(x if x is not None else _LONG_MIN) for x in c.to_pylist()], dtype=np.int64) for c in (low, high))
+            if current == ranges[lo] and len(hashes):
+                at = np.searchsorted(hashes, h)
+                open_ = np.flatnonzero((at < len(hashes)) & (hashes[np.minimum(at, len(hashes) - 1)] == h))
+                while len(open_):  # keys of one hash stand side by side
+                    same = pc.equal(keys.take(pa.array(at[open_])), ids.take(pa.array(open_))).to_numpy(zero_copy_only=False)
+                    hit = open_[same]
+                    found[hit], b[hit], g[hit] = True, born[at[hit]], gone[at[hit]]
+                    open_ = open_[~same]
+                    at[open_] += 1
+                    open_ = open_[(at[open_] < len(hashes)) & (hashes[np.minimum(at[open_], len(hashes) - 1)] == h[open_])]
             late = (b != _LONG_MIN) & (low != _LONG_MIN) & (low < b)
             deleted = (g != _LONG_MIN) & (high != _LONG_MIN) & (high >= g)
             out = np.flatnonzero(~found | late | deleted)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids_np[out], pa.string()), pa.array(found[out]), pa.array(b[out], pa.int64(), mask=b[out] == _LONG_MIN), pa.array(g[out], pa.int64(), mask=g[out] == _LONG_MIN)],
-                names=["id", "known", "born", "gone"],
+                [ids.take(pa.array(out)), pa.array(found[out]), pa.array(b[out], pa.int64(), mask=b[out] == _LONG_MIN), pa.array(g[out], pa.int64(), mask=g[out] == _LONG_MIN), n_rows.take(pa.array(out))],
+                names=["id", "known", "born", "gone", "n"],
             )
 
 
@@ -101,25 +109,33 @@ def orphan_references(
     )
     n_ranges = parts_for(parents.count(), PARENTS_PER_RANGE)
     in_range = F.shiftright(F.shiftrightunsigned(F.xxhash64("id"), 33) * F.lit(n_ranges), 31).cast("int")
+    held = "array<struct<h:bigint,id:string,born:bigint,gone:bigint>>"
     arrays = (
         kept.groupBy(in_range.alias("rng"))
-        .agg(F.sort_array(F.collect_list(F.struct("id", "born", "gone"))).alias("a"))
-        .select("rng", F.lit(0).alias("kind"), F.col("a.id").alias("keys"), F.col("a.born").alias("born"), F.col("a.gone").alias("gone"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("id").alias("h"), "id", "born", "gone"))).alias("held"))
+        .select("rng", F.lit(0).alias("kind"), F.col("held").cast(held), *[F.lit(None).cast(t).alias(c) for c, t in (("h", "bigint"), ("id", "string"), ("low", "bigint"), ("high", "bigint"), ("n", "bigint"))])
     )
     asked = (
         long.groupBy("id")
-        .agg(F.min(_micros(F.col("at"))).alias("low"), F.max(_micros(F.col("at"))).alias("high"))
-        .select(in_range.alias("rng"), F.lit(1).alias("kind"), F.lit(None).cast("array<string>").alias("keys"), F.lit(None).cast("array<bigint>").alias("born"), F.lit(None).cast("array<bigint>").alias("gone"), "id", "low", "high")
+        .agg(F.min(_micros(F.col("at"))).alias("low"), F.max(_micros(F.col("at"))).alias("high"), F.count(F.lit(1)).alias("n"))
+        .select(in_range.alias("rng"), F.lit(1).alias("kind"), F.lit(None).cast(held).alias("held"), F.xxhash64("id").alias("h"), "id", "low", "high", "n")
     )
     misses = written(
         arrays.unionByName(asked)
         .repartition("rng")
         .sortWithinPartitions("rng", "kind")
-        .mapInArrow(_probe, "id string, known boolean, born bigint, gone bigint"),
+        .mapInArrow(_probe, "id string, known boolean, born bigint, gone bigint, n bigint"),
         "misses",
     )
-    few = misses.count() <= BROADCAST_KEYS
-    back = long.join(F.broadcast(misses) if few else misses, "id")
+    if misses.count() <= BROADCAST_KEYS:
+        back = long.join(F.broadcast(misses), "id")
+    else:
+        # Keys with very many referring rows are joined in salted parts; they are few, as each has so many rows.
+        parts = (F.col("n") / ROWS_PER_TASK).cast("int")
+        hot = misses.where(parts > 0).select("id", parts.alias("last"))
+        few = hot.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+        placed = long.join(F.broadcast(hot) if few else hot, "id", "left").withColumn("part", F.pmod(F.xxhash64("row_key", "at"), F.coalesce("last", F.lit(0)) + 1).cast("int")).drop("last")
+        back = placed.join(misses.withColumn("part", F.explode(F.sequence(F.lit(0), parts))), ["id", "part"])
     at = _micros(F.col("at"))
     reason = F.when(~F.col("known"), "missing").when(F.col("born") > at, "late").when(F.col("gone") <= at, "deleted")
     return (

@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.operators.stats import components
+from skein.shared import written
 
 #: Queries searched at a time (shipped to every task; 64 floats each take 0.5 KB).
 QUERY_BLOCK = 20_000
+#: Vectors that one region of a neighbour join should hold, and pivots at most (shipped to every task).
+ROWS_PER_REGION, MAX_PIVOTS = 2_000, 2_000
 #: Vectors that the exact hierarchical clustering takes (distances take 8 n^2 bytes).
 MAX_WARD = 4_000
 
@@ -75,48 +78,94 @@ def search(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vecto
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
 
 
+def _regions(pivots: np.ndarray, reach: float):
+    """Each row to the region of its nearest pivot, and to those where a partner within ``reach`` (an angle) may be at home."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1).to_pylist()
+            ok = np.array([len(v) == pivots.shape[1] and None not in v for v in lists], bool)
+            if not ok.any():
+                continue
+            x = np.array([v for v, o in zip(lists, ok) if o], np.float64)
+            angle = np.arccos(np.clip(_scores(x, pivots, "cosine").T, -1, 1))
+            home = angle.argmin(axis=1)
+            row, region = np.nonzero(angle <= angle.min(axis=1)[:, None] + 2 * reach + 1e-9)
+            at = np.flatnonzero(ok)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(region.astype(np.int32)), pa.array(home[row].astype(np.int32)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], names=["r", "home", "k", "v"])
+
+    return run
+
+
+def _within(eps: float):
+    """Pairs of a region, one of them at home in it; pairs of two homes come from the lesser one's region."""
+
+    def work(region: int, home: list, keys: list, vs: list) -> Iterator[pa.RecordBatch]:
+        home, keys, x = np.array(home), np.array(keys, np.int64), np.array(vs, np.float64)
+        mine = np.flatnonzero(home == region)
+        for lo in range(0, len(mine), 256):
+            part = mine[lo : lo + 256]
+            i, j = np.nonzero(1 - _scores(x, x[part], "cosine") <= eps)
+            i = part[i]
+            keep = np.where(home[j] == region, keys[i] < keys[j], home[j] > region)
+            a, b = keys[i[keep]], keys[j[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, ([], [], [])
+        for batch in batches:
+            for r, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if r != current and held[0]:
+                    yield from work(current, *held)
+                    held = ([], [], [])
+                current = r
+                for column, x in zip(held, row):
+                    column.append(x)
+        if held[0]:
+            yield from work(current, *held)
+
+    return run
+
+
 def near_pairs(vectors: DataFrame, *, eps: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Pairs ``(a, b)``, a < b, within a cosine distance of ``eps``: every block of rows against all rows."""
-    rows = vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).where("k is not null and v is not null")
+    """Pairs ``(a, b)``, a < b, of different vectors within a cosine distance of ``eps``, exact.
+
+    Pivots drawn by a hash (at most ``MAX_PIVOTS``) divide the rows into
+    regions; by the triangle inequality of angles a row goes to every region
+    where a partner may be at home as well, so that each region joins on its own.
+    The wider ``eps``, the more regions a row goes to.  Null vectors, and those
+    of another length than the pivots, belong to no pair.
+    """
+    rows = written(vectors.select(F.col(key).cast("long").alias("k"), F.col(vector).alias("v")).where("k is not null and v is not null"), "vectors")
     n = rows.count()
-    out = None
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    for block in range(blocks):
-        part = (rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == block)).collect()
-        ids, q = np.array([r["k"] for r in part], np.int64), np.array([r["v"] for r in part], np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                mine, x = np.array(b.column(0).to_pylist(), np.int64), np.array(b.column(1).to_pylist(), np.float64)
-                if not len(mine) or not len(ids):
-                    continue
-                for lo in range(0, len(ids), 512):
-                    s = 1 - _scores(x, q[lo : lo + 512], "cosine")
-                    i, j = np.nonzero(s <= eps)
-                    keep = ids[lo + i] < mine[j]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + i][keep]), pa.array(mine[j][keep])], names=["a", "b"])
-
-        found = rows.mapInArrow(run, "a bigint, b bigint")
-        out = found if out is None else out.unionByName(found)
-    return out
+    drawn = rows.orderBy(F.xxhash64("k"), "k").limit(int(min(MAX_PIVOTS, max(1, n // ROWS_PER_REGION)))).collect()
+    width = max((len(r["v"]) for r in drawn), default=1)
+    pivots = np.array([r["v"] for r in drawn if len(r["v"]) == width and None not in r["v"]] or [[0.0] * width], np.float64)
+    placed = rows.mapInArrow(_regions(pivots, float(np.arccos(max(-1.0, 1 - eps)))), "r int, home int, k bigint, v array<double>" if dict(rows.dtypes)["v"] == "array<double>" else "r int, home int, k bigint, v array<float>")
+    return placed.repartition("r").sortWithinPartitions("r").mapInArrow(_within(eps), "a bigint, b bigint")
 
 
 def dbscan(vectors: DataFrame, *, eps: float = 0.5, min_samples: int = 2, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Density clustering under the cosine distance: ``(vec_id, cluster)``.
 
     A cluster is named by its least core id; a border point joins its least
-    neighbouring core's cluster; noise has -1.
+    neighbouring core's cluster; noise has -1.  Equal vectors are one point with
+    a count, so that a group of copies is never paired with itself.
     """
-    pairs = near_pairs(vectors, eps=eps, key=key, vector=vector)
+    every = vectors.select(F.col(key).cast("long").alias("a"), F.col(vector).alias("v")).where("a is not null")
+    points = written(every.where("v is not null").groupBy("v").agg(F.min("a").alias("k"), F.count_distinct("a").alias("n")), "points")
+    pairs = written(near_pairs(points, eps=eps, key="k", vector="v"), "near")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    every = vectors.select(F.col(key).cast("long").alias("a")).where("a is not null").distinct()
-    core = every.join(both.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a", "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("a")
+    sizes = points.select(F.col("k").alias("b"), "n")
+    around = both.join(sizes, "b").groupBy("a").agg(F.sum("n").alias("near"))
+    core = points.select(F.col("k").alias("a"), "n").join(around, "a", "left").where(F.col("n") + F.coalesce("near", F.lit(0)) >= min_samples).select("a")
     links = both.join(core, "a", "left_semi").join(core.withColumnRenamed("a", "b"), "b", "left_semi")
     text = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")
     named = components(core.select(text("a").alias("node_id")), links.select(text("a").alias("source_node_id"), text("b").alias("target_node_id")))
     cores = named.select(F.col("node_id").cast("long").alias("a"), F.col("component").cast("long").alias("cluster"))
     border = both.join(cores.withColumnRenamed("a", "b"), "b").join(core, "a", "left_anti").groupBy("a").agg(F.min(F.struct("b", "cluster"))["cluster"].alias("cluster"))
-    return every.join(cores.unionByName(border), "a", "left").select(F.col("a").alias(key), F.coalesce("cluster", F.lit(-1)).alias("cluster"))
+    found = cores.unionByName(border).join(points.select(F.col("k").alias("a"), "v"), "a").select("v", "cluster")
+    return every.select("a", "v").distinct().join(found, "v", "left").groupBy(F.col("a").alias(key)).agg(F.coalesce(F.min("cluster"), F.lit(-1)).alias("cluster"))
 
 
 def kmeans(vectors: DataFrame, k: int, *, seed: int = 42, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -12,6 +12,8 @@ from skein.shared import parts_for, written
 
 #: Pairs of ids that one task may join (some 250 bytes each in Python).
 FINISH_PAIRS = 500_000
+#: Nodes up to which a list of them is broadcast.
+BROADCAST_NODES = 200_000
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -55,7 +57,19 @@ def popular_nodes(nodes: DataFrame, edges: DataFrame, top_n: int = 10, by: str =
     """The ``top_n`` nodes by a degree; ties by creation, then id."""
     if by not in ("in_degree", "out_degree", "total_degree"):
         raise ValueError(f"unknown degree {by!r}")
-    return degrees(nodes, edges).orderBy(F.desc(by), "created_at", "node_id").limit(top_n).select("node_id", "url", F.col(by).alias("degree"))
+    pairs = _pairs(edges)
+    ends = {"in_degree": ["target_node_id"], "out_degree": ["source_node_id"], "total_degree": ["source_node_id", "target_node_id"]}[by]
+    counts = pairs.select(F.explode(F.array(*ends)).alias("node_id")).groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"))
+    known = nodes.select("node_id", "url", "created_at")
+    counts = written(counts.join(nodes.select("node_id"), "node_id", "left_semi"), "degrees")
+    # Only what is not below the last place can be on the list; names are looked up for that alone.
+    last = counts.orderBy(F.desc("degree")).limit(max(top_n, 1)).agg(F.count(F.lit(1)), F.min("degree")).first()
+    if last[0] < top_n:
+        ranked = known.join(counts, "node_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    else:
+        top = counts.where(F.col("degree") >= last[1])
+        ranked = known.join(F.broadcast(top) if top.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else top, "node_id")
+    return ranked.orderBy(F.desc("degree"), "created_at", "node_id").limit(top_n).select("node_id", "url", "degree")
 
 
 def link_types(edge_metadata: Column) -> Column:
@@ -71,15 +85,19 @@ def edge_type_counts(edges: DataFrame) -> DataFrame:
 def edge_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: edges, mean depth difference, with and without anchor text, to scanned and unscanned targets."""
     m = F.col("metadata")
-    known = nodes.select(F.col("node_id").alias("target_node_id"), F.coalesce("scanned", F.lit(False)).alias("t_scanned"))
     anchor = F.coalesce(F.element_at(m, "anchor_text"), F.lit("")) != ""
-    return edges.join(known, "target_node_id", "left").agg(
-        F.count(F.lit(1)).alias("total_edges"),
-        F.avg(F.element_at(m, "depth_diff").try_cast("int")).alias("avg_depth_diff"),
-        F.count_if(anchor).alias("with_anchor"),
-        F.count_if(~anchor).alias("without_anchor"),
-        F.count_if("t_scanned").alias("to_scanned"),
-        F.count_if(~F.col("t_scanned")).alias("to_unscanned"),
+    diff = F.element_at(m, "depth_diff").try_cast("int")
+    # Summed by target first, so that the links of a hub are one row when the state of targets is looked up.
+    per = edges.groupBy("target_node_id").agg(F.count(F.lit(1)).alias("n"), F.sum(diff).alias("diff"), F.count(diff).alias("n_diff"), F.count_if(anchor).alias("anchors"))
+    known = nodes.groupBy(F.col("node_id").alias("target_node_id")).agg(F.max(F.coalesce("scanned", F.lit(False))).alias("t_scanned"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return per.join(known, "target_node_id", "left").agg(
+        total("n").alias("total_edges"),
+        (F.sum("diff") / F.nullif(F.sum("n_diff"), F.lit(0))).alias("avg_depth_diff"),
+        total("anchors").alias("with_anchor"),
+        total(F.col("n") - F.col("anchors")).alias("without_anchor"),
+        total(F.when(F.col("t_scanned"), F.col("n"))).alias("to_scanned"),
+        total(F.when(~F.col("t_scanned"), F.col("n"))).alias("to_unscanned"),
     )
 
 
@@ -164,16 +182,57 @@ def is_connected(nodes: DataFrame, edges: DataFrame) -> bool:
 
 
 def cycles(edges: DataFrame, length: int) -> DataFrame:
-    """Simple cycles of exactly ``length`` different nodes, each once, beginning at its least id: ``(cycle array)``."""
+    """Simple cycles of exactly ``length`` different nodes, each once, beginning at its least id: ``(cycle array)``.
+
+    Paths grow from the node of a cycle with the fewest links, so that the links
+    of a hub are not paired with each other.
+    """
     arcs = _pairs(edges).select(F.col("source_node_id").alias("s"), F.col("target_node_id").alias("t"))
     if length == 1:
         return arcs.where("s = t").select(F.array("s").alias("cycle"))
-    arcs = arcs.where("s != t")
-    paths = arcs.where("t > s").select(F.array("s", "t").alias("p"), F.col("s").alias("first"), F.col("t").alias("last"))
-    for _ in range(length - 2):
-        paths = paths.join(arcs, paths["last"] == arcs["s"]).where((F.col("t") > F.col("first")) & ~F.array_contains("p", F.col("t"))).select(F.concat("p", F.array("t")).alias("p"), "first", F.col("t").alias("last"))
-    back = arcs.select(F.col("s").alias("last"), F.col("t").alias("first"))
-    return paths.join(back, ["last", "first"], "left_semi").select(F.col("p").alias("cycle"))
+    arcs = written(arcs.where("s != t"), "arcs")
+    rank = arcs.select(F.explode(F.array("s", "t")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).select("id", F.struct("n", "id").alias("k"))
+    ranked = written(arcs.join(rank.select(F.col("id").alias("s"), F.col("k").alias("ks")), "s").join(rank.select(F.col("id").alias("t"), F.col("k").alias("kt")), "t").select("s", "t", "ks", "kt"), "ranked")
+    paths = ranked.where("kt > ks").select(F.array("s", "t").alias("p"), F.col("s").alias("first"), F.col("ks").alias("k"), F.col("t").alias("last"))
+    for _ in range(length - 3):
+        paths = paths.join(ranked.select("s", "t", "kt"), F.col("last") == F.col("s")).where((F.col("kt") > F.col("k")) & ~F.array_contains("p", F.col("t"))).select(F.concat("p", F.array("t")).alias("p"), "first", "k", F.col("t").alias("last"))
+    if length == 2:
+        found = paths.join(arcs.select(F.col("s").alias("last"), F.col("t").alias("first")), ["last", "first"], "left_semi")
+    else:
+        # The last node is one that leads back to the first; whether the path reaches it is looked up.
+        ends = ranked.where("ks > kt").select(F.col("t").alias("first"), F.col("s").alias("end"))
+        met = paths.join(ends, "first").where(~F.array_contains("p", F.col("end")))
+        found = met.join(arcs.select(F.col("s").alias("last"), F.col("t").alias("end")), ["last", "end"], "left_semi").select(F.concat("p", F.array("end")).alias("p"))
+    least = F.array_position("p", F.array_min("p")).cast("int")
+    return found.select(F.concat(F.slice("p", least, F.size("p")), F.slice("p", F.lit(1), least - 1)).alias("cycle"))
+
+
+def find_cycles(edges: DataFrame, max_cycles: int | None = None, max_length: int = 5) -> DataFrame:
+    """Simple cycles up to ``max_length`` nodes, shorter ones first, then by ids: at most ``max_cycles`` of ``(cycle)``."""
+    out, n = None, 0
+    for length in range(1, max_length + 1):
+        found = cycles(edges, length)
+        out = found if out is None else out.unionByName(found)
+        if max_cycles is not None:
+            out = written(out, "cycles")
+            n = out.count()
+            if n >= max_cycles:
+                break
+    return out if max_cycles is None else out.orderBy(F.size("cycle"), "cycle").limit(max_cycles)
+
+
+def cycle_members(edges: DataFrame, *, finish_pairs: int = FINISH_PAIRS) -> DataFrame:
+    """Nodes on a cycle of any length: ``(node_id, component)``, by strong components; a node that links itself is its own."""
+    from skein.operators.hierarchy import strong_components
+
+    pairs = written(_pairs(edges).select(F.col("source_node_id").alias("p"), F.col("target_node_id").alias("c")).where("p is not null and c is not null"), "arcs")
+    strong = strong_components(pairs.where("p != c"), finish_pairs)
+    loops = pairs.where("p = c").select(F.col("p").alias("node_id"))
+    if strong is None:
+        return loops.select("node_id", F.col("node_id").alias("component"))
+    least = strong.groupBy("part").agg(F.min("node").alias("component"))
+    found = strong.join(least, "part").select(F.col("node").alias("node_id"), "component")
+    return found.unionByName(loops.join(found, "node_id", "left_anti").select("node_id", F.col("node_id").alias("component")))
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:

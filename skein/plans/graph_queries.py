@@ -144,6 +144,7 @@ QUERIES = {
     "cycles_1": _cyclic(1),
     "cycles_2": _cyclic(2),
     "cycles_3": _cyclic(3),
+    "cycle_members": lambda s, d: stats.cycle_members(load(s, d).edges),
     "remove_nodes": _graph(lambda g: g.remove_nodes(g.nodes.where("response_status >= 400").select("node_id")).edges.select("edge_id").distinct()),
     "filter_graph": _graph(lambda g: g.filter(F.col("scanned")).edges.groupBy("source_node_id", "target_node_id").agg(F.count(F.lit(1)).alias("n"))),
     "compact_graph": _graph(lambda g: g.compact().edges.agg(F.count(F.lit(1)).alias("n_edges"))),
@@ -179,6 +180,8 @@ SQL = {
     "connected_components": f"WITH RECURSIVE {_PAIRS}, {_KNOWN}, b AS (SELECT s AS a, t AS b FROM known UNION SELECT t, s FROM known), r(a, b) AS (SELECT node_id, node_id FROM nodes UNION SELECT r.a, b.b FROM r JOIN b ON b.a = r.b) SELECT a AS node_id, min(b) AS component FROM r GROUP BY 1",
     "is_connected": f"WITH RECURSIVE {_PAIRS}, {_KNOWN}, b AS (SELECT s AS a, t AS b FROM known UNION SELECT t, s FROM known), r(a) AS (SELECT min(node_id) FROM nodes UNION SELECT b.b FROM r JOIN b ON b.a = r.a) SELECT (SELECT count(*) FROM r) >= (SELECT count(*) FROM nodes) AS connected",
     "reachable_3": f"WITH RECURSIVE {_PAIRS}, r(node_id, steps) AS (SELECT node_id, 0 FROM nodes WHERE depth = 0 UNION SELECT p.t, r.steps + 1 FROM r JOIN p ON p.s = r.node_id WHERE r.steps < 3 AND p.t IS NOT NULL) SELECT node_id, min(steps) AS steps FROM r GROUP BY 1",
+    "cycle_members": f"""WITH RECURSIVE {_PAIRS.lstrip()}, reach(u, v) AS (SELECT s, t FROM p WHERE s IS NOT NULL AND t IS NOT NULL UNION SELECT reach.u, p.t FROM reach JOIN p ON p.s = reach.v WHERE p.t IS NOT NULL)
+SELECT x.u AS node_id, min(y.v) AS component FROM reach x JOIN reach y ON y.u = x.u JOIN reach z ON z.u = y.v AND z.v = x.u WHERE x.u = x.v GROUP BY 1""",
     "cycles_1": f"WITH {_PAIRS} SELECT s AS cycle FROM p WHERE s = t",
     "cycles_2": f"WITH {_PAIRS} SELECT a.s || '>' || a.t AS cycle FROM p a JOIN p b ON a.t = b.s AND b.t = a.s WHERE a.s < a.t",
     "cycles_3": f"WITH {_PAIRS} SELECT a.s || '>' || a.t || '>' || b.t AS cycle FROM p a JOIN p b ON a.t = b.s JOIN p c ON b.t = c.s AND c.t = a.s WHERE a.s < a.t AND a.s < b.t AND a.t <> b.t",

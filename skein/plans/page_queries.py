@@ -106,14 +106,15 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     """Orders as links from customers to suppliers' parts, in order of time; depths from the keys' own columns."""
     o, i, s = (table(spark, d, t) for t in ("orders", "lineitem", "supplier"))
     rows = i.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    return rows.select(
+    rows = rows.select(
         F.struct(F.col("o_orderdate").cast("string").alias("a"), F.col("l_orderkey").alias("b"), F.col("l_linenumber").alias("c"), F.col("l_partkey").alias("d")).alias("seq"),
         F.concat(F.lit("c"), F.col("o_custkey")).alias("source"),
         F.concat(F.lit("s"), F.col("l_suppkey")).alias("target"),
         F.col("l_linenumber").alias("source_depth"),
         (F.col("s_nationkey") % 7 + 1).cast("int").alias("target_depth"),
-        F.lit(True).alias("created"),
     )
+    first = rows.groupBy("target").agg(F.min("seq").alias("first"))
+    return rows.join(first, "target").withColumn("created", F.col("seq") == F.col("first")).select("seq", "source", "target", "source_depth", "target_depth", "created")
 
 
 def _strategy(name: str, **more):
@@ -140,6 +141,25 @@ def crawl_expansion(spark: SparkSession, d: str) -> DataFrame:
     return g.nodes.groupBy("depth", "scanned").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _crawl(spark: SparkSession, d: str):
+    """Crawl five levels deep over pages that hold the links of the stored graph."""
+    from skein.shared import clean_id
+
+    e = table(spark, d, "edges").select(clean_id(F.col("source_node_id")).alias("s"), clean_id(F.col("target_node_id")).alias("t")).where("s is not null and t is not null").distinct()
+    at = lambda c: F.concat(F.lit("https://crawl.test/"), c)
+    pages = e.groupBy(at(F.col("s")).alias("url")).agg(F.array_join(F.sort_array(F.collect_set(F.concat(F.lit("<a href='/"), "t", F.lit("'>x</a>")))), " ").alias("html"))
+    seed = e.agg(at(F.min("s"))).first()[0]
+    return expand(pages, seed, CrawlPlan(max_depth=5))
+
+
+def crawl_levels(spark: SparkSession, d: str) -> DataFrame:
+    return _crawl(spark, d).nodes.groupBy("depth", "scanned").agg(F.count(F.lit(1)).alias("n"), F.min("url").alias("first"), F.max("num").alias("last_num"))
+
+
+def crawl_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _crawl(spark, d).edges.groupBy(F.element_at("metadata", "depth_diff").cast("int").alias("depth_diff")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("target_node_id").alias("n_targets"))
+
+
 def sitemap_links(spark: SparkSession, d: str) -> DataFrame:
     """Sitemaps written from the containment edges' hosts, read back."""
     from skein.functions.urls import get_domain
@@ -151,9 +171,10 @@ def sitemap_links(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (url_functions, domain_histogram, domain_depth_rollup, link_counts, page_link_pairs, page_metadata, page_text_hash, contacts, emails, phones, price_counts, challenges, response_flags, cache_keys, filters, rule_match, link_kinds, crawl_expansion, sitemap_links)
+    for f in (url_functions, domain_histogram, domain_depth_rollup, link_counts, page_link_pairs, page_metadata, page_text_hash, contacts, emails, phones, price_counts, challenges, response_flags, cache_keys, filters, rule_match, link_kinds, crawl_expansion, crawl_levels, crawl_edges, sitemap_links)
 } | {
     "edge_strategy_all": _strategy("all"),
+    "edge_strategy_new_only": _strategy("new_only"),
     "edge_strategy_max_in_degree": _strategy("max_in_degree", max_in_degree=25),
     "edge_strategy_first_encounter": _strategy("first_encounter_only"),
     "edge_strategy_same_depth": _strategy("same_depth_only"),
@@ -184,7 +205,13 @@ _FILTER_D = f"(SELECT coalesce(x = 'rone-canal.test' OR x LIKE '%.rone-canal.tes
 _PATH_SQL = "regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]*([^?#]*)', 1)"
 _FILTER_P = f"coalesce(regexp_matches({_PATH_SQL}, '^/[a-z]') AND NOT regexp_matches({_PATH_SQL}, 'sitemaps|\\.xml$'), false)"
 _RULE = "CASE WHEN regexp_matches(url, 'sitemap') THEN 0 WHEN regexp_matches(url, '\\.html$') THEN 1 WHEN regexp_matches(url, '[?&]page=') THEN 2 WHEN regexp_matches(url, '/20\\d\\d/') THEN 3 END"
-_CAND = "c AS (SELECT (CAST(o_orderdate AS varchar), l_orderkey, l_linenumber, l_partkey) AS seq, 'c' || o_custkey AS source, 's' || l_suppkey AS target, l_linenumber AS source_depth, s_nationkey % 7 + 1 AS target_depth FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey)"
+_CAND = "c AS (SELECT (CAST(o_orderdate AS varchar), l_orderkey, l_linenumber, l_partkey) AS seq, 'c' || o_custkey AS source, 's' || l_suppkey AS target, l_linenumber AS source_depth, s_nationkey % 7 + 1 AS target_depth, row_number() OVER (PARTITION BY l_suppkey ORDER BY CAST(o_orderdate AS varchar), l_orderkey, l_linenumber, l_partkey) = 1 AS created FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey)"
+_WALK = r"""
+e AS (SELECT DISTINCT nullif(lower(regexp_replace(source_node_id, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g')), '') AS s, nullif(lower(regexp_replace(target_node_id, '^[\s\x{a0}]+|[\s\x{a0}]+$', '', 'g')), '') AS t FROM edges),
+l AS (SELECT * FROM e WHERE s IS NOT NULL AND t IS NOT NULL),
+w(node, depth) AS (SELECT min(s), 0 FROM l UNION SELECT l.t, w.depth + 1 FROM w JOIN l ON l.s = w.node WHERE w.depth <= 5),
+v AS (SELECT node, min(depth) AS depth FROM w GROUP BY 1)
+"""
 _KEPT = "SELECT target, count(*) AS n_edges, count(DISTINCT source) AS n_sources FROM {0} GROUP BY 1"
 
 
@@ -216,6 +243,9 @@ SELECT url, target, count(*) AS n FROM t WHERE regexp_matches(target, '^https?:/
     "challenges": f"WITH {_R} SELECT 'none' AS challenge, CAST(NULL AS varchar) AS captcha, count(*) AS n FROM r",
     "filters": f"SELECT node_id, {_FILTER_D} AS by_domain, {_FILTER_P} AS by_path FROM nodes",
     "rule_match": f"SELECT node_id, rule, coalesce(priority, [9, 7, 2, 6][rule + 1], 5) AS priority, scan, CASE WHEN rule = 2 THEN false ELSE scan AND coalesce(CASE rule WHEN 0 THEN true WHEN 3 THEN false END, true) END AS follow FROM (SELECT node_id, priority, rule, coalesce(CASE rule WHEN 0 THEN true WHEN 2 THEN false WHEN 3 THEN true END, d AND p) AS scan FROM (SELECT node_id, priority, {_RULE} AS rule, {_FILTER_D} AS d, {_FILTER_P} AS p FROM nodes))",
+    "crawl_levels": f"WITH RECURSIVE {_WALK} SELECT depth, depth <= 5 AS scanned, count(*) AS n, 'https://crawl.test/' || min(node) AS first, CAST(sum(count(*)) OVER (ORDER BY depth) - 1 AS BIGINT) AS last_num FROM v GROUP BY 1",
+    "crawl_edges": f"WITH RECURSIVE {_WALK} SELECT CAST(b.depth - a.depth AS INTEGER) AS depth_diff, count(*) AS n, count(DISTINCT l.t) AS n_targets FROM l JOIN v a ON a.node = l.s AND a.depth <= 5 JOIN v b ON b.node = l.t GROUP BY 1",
+    "edge_strategy_new_only": f"WITH {_CAND} {_KEPT.format('(SELECT * FROM c WHERE created)')}",
     "edge_strategy_all": f"WITH {_CAND} {_KEPT.format('c')}",
     "edge_strategy_max_in_degree": f"WITH {_CAND}, f AS (SELECT *, CAST(row_number() OVER (PARTITION BY target, source ORDER BY seq) = 1 AS integer) AS first FROM c), k AS (SELECT *, coalesce(sum(first) OVER (PARTITION BY target ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f) {_KEPT.format('(SELECT * FROM k WHERE before < 25)')}",
     "edge_strategy_first_encounter": f"WITH {_CAND} {_KEPT.format('(SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY target ORDER BY seq) = 1)')}",

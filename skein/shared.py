@@ -2,8 +2,10 @@
 
 Intermediate results that are read more than once are written as Parquet below
 the folder that the session names in ``spark.checkpoint.dir``; every executor
-sees that folder, so a lost executor costs a re-read and nothing else.  Only
-where the setting is missing (tests, notebooks) a local folder is made.
+sees that folder, so a lost executor costs a re-read and nothing else.  Only on
+a local master (tests, notebooks) a folder of this machine is made where the
+setting is missing; on a cluster that is an error.  What was written is deleted
+when the driver ends, or by :func:`release`.
 """
 
 from __future__ import annotations
@@ -16,35 +18,52 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIRS: list[str] = []
+_OWN_DIRS: dict[str, str] = {}
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
-def _remove_own() -> None:
-    for path in _OWN_DIRS:
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def release() -> None:
+    """Delete everything that :func:`written` wrote so far; tables read from it can't be read any more."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            _delete(spark, path)
+        except Exception:  # the session has ended: what lies in a local folder goes with it
+            continue
+
+
+def _at_exit() -> None:
+    release()
+    for path in _OWN_DIRS.values():
         shutil.rmtree(path, ignore_errors=True)
 
 
-atexit.register(_remove_own)
+atexit.register(_at_exit)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for written intermediates: the cluster's, or a local one if none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    named = spark.sparkContext.getCheckpointDir()
+    """Folder for written intermediates: the cluster's, or a local one on a local master without any."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    own = tempfile.mkdtemp(prefix="skein-")
-    _OWN_DIRS.append(own)
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN_DIRS:
+        _OWN_DIRS[app] = tempfile.mkdtemp(prefix="skein-")
+    return f"file://{_OWN_DIRS[app]}"
 
 
 def written(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back from it."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/skein-{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -54,6 +73,29 @@ def parts_for(rows: int, per_part: int = 100_000, most: int = 20_000) -> int:
     return max(1, min(most, -(-rows // per_part)))
 
 
+#: Rows of one key that one task should join, and hot keys up to which a list of them is broadcast.
+ROWS_PER_TASK, BROADCAST_KEYS = 200_000, 100_000
+
+
+def salted_join(many: DataFrame, few: DataFrame, key: str, how: str = "inner", rows_per_task: int | None = None) -> DataFrame:
+    """``many`` joined to ``few`` (unique in ``key``), the rows of a hot key in as many parts as they need.
+
+    Keys are counted first, from partial sums; only those with more than
+    ``rows_per_task`` rows are split, and ``few`` is repeated for these alone.
+    """
+    rows = rows_per_task or ROWS_PER_TASK
+    hot = many.groupBy(key).agg(F.floor(F.count(F.lit(1)) / rows).cast("int").alias("_last")).where("_last > 0")
+    hot = written(hot.where(F.col(key).isNotNull()), "hot")
+    n_hot = hot.limit(BROADCAST_KEYS + 1).count()
+    if not n_hot:
+        return many.join(few, key, how)
+    side = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
+    others = [c for c, t in many.dtypes if c != key and not t.startswith("map")] or [key]
+    placed = many.join(side, key, "left").withColumn("_part", F.pmod(F.xxhash64(*others), F.coalesce("_last", F.lit(0)) + 1).cast("int")).drop("_last")
+    split = few.join(side, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_last", F.lit(0))))).drop("_last")
+    return placed.join(split, [key, "_part"], how).drop("_part")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skein.operators.graph import WebGraph
 from skein.operators.stats import link_types
 from skein.schema import EDGES, NODES
+from skein.shared import salted_join
 
 
 def write_graph(graph: WebGraph, path: str, fmt: str = "parquet", partition_by: str | None = None) -> None:
@@ -43,6 +44,21 @@ def write_jdbc(graph: WebGraph, url: str, prefix: str = "graph", properties: dic
         df.withColumns({c: F.to_json(c) for c in maps}).write.jdbc(url, f"{prefix}_{name}", "overwrite", properties or {})
 
 
+def read_jdbc(spark: SparkSession, url: str, prefix: str = "graph", properties: dict[str, str] | None = None, partitions: int = 1) -> WebGraph:
+    """Graph written by :func:`write_jdbc`; with ``partitions`` the nodes are read by ranges of depth, the edges at once."""
+    out = []
+    for name, schema in (("nodes", NODES), ("edges", EDGES)):
+        at = f"{prefix}_{name}"
+        if name == "nodes" and partitions > 1:
+            least, most = spark.read.jdbc(url, at, properties=properties or {}).agg(F.min("depth"), F.max("depth")).first()
+            df = spark.read.jdbc(url, at, column="depth", lowerBound=least or 0, upperBound=(most or 0) + 1, numPartitions=partitions, properties=properties or {})
+        else:
+            df = spark.read.jdbc(url, at, properties=properties or {})
+        maps = [f.split()[0] for f in schema.split(", ") if "map<" in f]
+        out.append(df.withColumns({c: F.from_json(c, "map<string,string>") for c in maps if c in df.columns}))
+    return WebGraph(*out)
+
+
 def upsert_nodes(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Stored rows, those of the new ids replaced."""
     return stored.join(new.select("node_id").distinct(), "node_id", "left_anti").select(*stored.columns).unionByName(new, allowMissingColumns=True)
@@ -51,7 +67,7 @@ def upsert_nodes(stored: DataFrame, new: DataFrame) -> DataFrame:
 def export_edges(graph: WebGraph) -> DataFrame:
     """Edges with what is known of both ends; unknown ends have blank urls."""
     end = lambda p: graph.nodes.select(F.col("node_id").alias(f"{p}_node_id"), F.col("url").alias(f"{p}_url"), F.col("depth").alias(f"{p}_depth"), F.col("scanned").alias(f"{p}_scanned"))
-    rows = graph.edges.join(end("source"), "source_node_id", "left").join(end("target"), "target_node_id", "left")
+    rows = salted_join(salted_join(graph.edges, end("source"), "source_node_id", "left"), end("target"), "target_node_id", "left")
     return rows.select("edge_id", "source_node_id", "target_node_id", F.coalesce("source_url", F.lit("")).alias("source_url"), F.coalesce("target_url", F.lit("")).alias("target_url"), "source_depth", "target_depth", F.to_json("metadata").alias("metadata"))
 
 

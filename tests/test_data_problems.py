@@ -5,7 +5,7 @@ from datetime import datetime
 
 import pytest
 
-from skein.operators.hierarchy import hierarchy, hierarchy_paths
+from skein.operators.hierarchy import descendants, hierarchy, hierarchy_paths
 from skein.operators.orphans import orphan_references, orphan_report
 from skein.operators.snapshots import snapshot_changes
 
@@ -125,3 +125,30 @@ def test_cycles_are_counted_by_component(spark, monkeypatch, finish):
     monkeypatch.setattr(H, "_closure", lambda arcs, n, whole=H._closure: (sizes.append((r := whole(arcs, n)).count()), r)[1])
     got = {r[0]: tuple(r[1:]) for r in hierarchy(spark.createDataFrame(rows, "source_node_id string, target_node_id string"), finish_arcs=finish).collect()}
     assert got == brute(rows) and len(sizes) == 1 and sizes[0] < 40
+
+
+def test_descendants(spark):
+    rng = random.Random(3)
+    arcs = {(rng.randrange(12), rng.randrange(12)) for _ in range(16)}
+    df = spark.createDataFrame([(f" N{a}", f"n{b} ") for a, b in arcs] * 2 + [(None, "n1"), ("", "n2")], "source_node_id string, target_node_id string")
+    want = {}
+    for start in range(12):
+        front, n, seen = {start}, 0, {start}
+        while front:
+            n += 1
+            front = {b for a, b in arcs if a in front} - seen
+            seen |= front
+            want |= {(f"n{start}", f"n{b}", n): None for b in front}
+    assert {tuple(r) for r in descendants(df).collect()} == set(want) and descendants(df.limit(0)).count() == 0
+
+
+def test_orphans_of_a_hot_key_beyond_the_broadcast(spark, monkeypatch):
+    from skein.operators import orphans as O
+
+    edges = spark.createDataFrame([(f"e{k}", "gone" if k % 2 else f"x{k}", "p", t(2)) for k in range(60)], "edge_id string, source_node_id string, target_node_id string, created_at timestamp_ntz")
+    nodes = spark.createDataFrame([("p", t(1), None), ("gone", t(1), {"removed_at": "2025-01-01"})], "node_id string, created_at timestamp_ntz, metadata map<string,string>")
+    want = {tuple(r) for r in orphan_references(edges, nodes).collect()}
+    assert len(want) == 60
+    monkeypatch.setattr(O, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(O, "ROWS_PER_TASK", 7)
+    assert {tuple(r) for r in orphan_references(edges, nodes).collect()} == want

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import extract, text, urls
 from skein.functions import vectors as V
+from skein.functions.text import page_text, visible_text
 from skein.functions.rules import DomainFilter, EdgeRule, PathFilter, URLRule, edge_decision, scan_decision
 from skein.operators import search, sitemap
 from skein.operators import telemetry as T
@@ -85,6 +86,71 @@ def test_golden_crawl(spark):
     assert {(r["url"][-1], r["scanned"]) for r in shallow.nodes.collect()} == {("S", True), ("P", True), ("Q", True), ("R", False)}
 
 
+def test_markup_as_parsers_read_it(spark):
+    links = """<A HREF=/u>1</A><!-- <a href="/no">x</a> --><a class="x>y" data-href='/d' href='/q?a=1&amp;b=2'>2</a><script>'<a href="/s">'</script><a name=t>3</a><a href="">4</a><abbr href="/z">"""
+    assert one(spark, links, extract.hrefs) == ["/u", "/q?a=1&b=2", ""]
+    meta = """<html lang=en><meta content='b' name="description"><meta name='description' content="c &amp; d"><meta name=keywords content=k><link href="/c" rel=canonical><img alt="a" src=/i.png><iframe src='/f'></iframe>"""
+    m = one(spark, meta, extract.page_metadata)
+    assert (m["description"], m["keywords"], m["title"]) == ("c & d", "k", None)
+    assert one(spark, meta, extract.canonical_url) == "/c" and one(spark, meta, extract.page_language) == "en"
+    assert one(spark, meta, lambda c: extract.sources(c, "img")) == ["/i.png"] and one(spark, meta, lambda c: extract.sources(c, "iframe")) == ["/f"]
+    assert one(spark, "<p>a &lt; b</p><script>var x</script><!-- no -->", visible_text) == "a < b var x"
+    assert one(spark, "<p>a</p><script>var x</script>", lambda c: visible_text(c, scripts=False)) == "a" and len(one(spark, "<p>" + "x" * 20_000, page_text)) == 10_003
+
+
+def test_challenges_and_captchas(spark):
+    s = "html string, status int, headers map<string,string>"
+    form = '<form id="challenge-form" class="challenge-form" action="/x__cf_chl_f_tk=1">'
+    cf = {"Server": "cloudflare"}
+    rows = [
+        ('<span class="cf-error-code">1020</span>', 403, cf, "firewall_1020"), ("<div class='cf-turnstile'>", 200, cf, "turnstile"), ("/cdn-cgi/images/trace/jsch/" + form, 503, cf, "iuam_v1"),
+        ("/cdn-cgi/images/trace/managed/" + form, 403, {"SERVER": "Cloudflare-x"}, "captcha_v1"), ("/cdn-cgi/images/trace/jsch/" + form, 200, cf, "none"), ("<div class='cf-turnstile'>", 200, {}, "none"), (None, 403, None, "none"),
+    ]
+    df = spark.createDataFrame([(h, st, hd) for h, st, hd, _ in rows], s)
+    assert [r[0] for r in df.select(extract.challenge_kind(F.col("html"), F.col("status"), F.col("headers"))).collect()] == [k for *_, k in rows]
+    kind = lambda t: one(spark, t, extract.captcha_kind)
+    assert tuple(kind('<div class="g-recaptcha" data-sitekey="k1">')) == ("recaptcha_v2", "k1") and tuple(kind("grecaptcha.execute('k2')")) == ("recaptcha_v3", "k2")
+    assert tuple(kind('<div class="h-captcha" data-sitekey="k3">')) == ("hcaptcha", "k3") and tuple(kind("<p class=GT-captcha>")) == ("geetest", "") and kind("none") is None
+
+
+def crawl_pages(spark, width):
+    """A seed with many links, whose pages have as many, five levels deep; pages of a level link to the next."""
+    rows = [(f"http://h/{d}-{k}", " ".join(f"<a href='/{d + 1}-{j}'>x</a>" for j in range(width))) for d in range(1, 6) for k in range(width)]
+    return spark.createDataFrame([("http://h/0", " ".join(f"<a href='/1-{j}'>x</a>" for j in range(width))), *rows], "url string, html string")
+
+
+@pytest.mark.parametrize("depth", [3, 4, 5])
+def test_deep_crawls_number_nodes_densely(spark, depth):
+    g = expand(crawl_pages(spark, 13), "http://h/0", CrawlPlan(max_depth=depth))
+    got = sorted((r["num"], r["depth"], r["url"]) for r in g.nodes.collect())
+    assert [n for n, _, _ in got] == list(range(1 + 13 * (depth + 1)))
+    assert [u for _, _, u in got[1:14]] == [f"http://h/1-{j}" for j in range(13)] and [d for _, d, _ in got] == sorted(d for _, d, _ in got)
+    assert g.edges.count() == 13 + 169 * depth
+
+
+def test_redirects_within_a_crawl(spark):
+    pages = spark.createDataFrame([("http://h/S", "<a href=/P>p</a><a href=/Q>q</a><a href=/T>t</a>", "http://h/S"), ("http://h/P", "<a href=/R>r</a>", "http://h/Q"), ("http://h/Q", "q", None), ("http://h/T", "t", "http://h/new"), ("http://h/R", "r", "not valid")], "url string, html string, final_url string")
+    g = expand(pages, "http://h/S", CrawlPlan(max_depth=2))
+    assert {r["url"]: r["num"] for r in g.nodes.collect()} == {"http://h/S": 0, "http://h/Q": 2, "http://h/new": 3, "http://h/R": 4}
+    assert sorted((r["source"][-1], r["target"][9:], r["metadata"]["was_redirect"]) for r in g.edges.collect()) == [("Q", "R", "false"), ("S", "Q", "false"), ("S", "Q", "true"), ("S", "new", "true")]
+    assert g.nodes.where("content_hash is null").count() == 0
+
+
+def test_near_pairs_against_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    x = np.random.default_rng(4).normal(size=(150, 5))
+    x[40:60] = x[:20] + 0.01
+    df = spark.createDataFrame([(k, [float(y) for y in v]) for k, v in enumerate(x)] + [(900, None)], "vec_id bigint, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    for eps in (0.02, 0.2):
+        want = {(a, b) for a in range(150) for b in range(a + 1, 150) if 1 - u[a] @ u[b] <= eps}
+        for rows in (2_000, 10):
+            monkeypatch.setattr(search, "ROWS_PER_REGION", rows)
+            got = [tuple(r) for r in search.near_pairs(df, eps=eps).collect()]
+            assert set(got) == want and len(got) == len(want)
+
+
 def test_edge_strategies(spark):
     depth = {"S": 0, "P": 1, "Q": 1, "R": 2}
     links = [(k + 1, s, t, depth[s], depth[t], c) for k, (s, t, c) in enumerate([("S", "P", True), ("S", "Q", True), ("S", "P", False), ("P", "Q", False), ("P", "S", False), ("P", "R", True), ("Q", "R", False), ("Q", "P", False)])]
@@ -93,6 +159,10 @@ def test_edge_strategies(spark):
     assert kept("all") == list(range(1, 9)) and kept("new_only") == [1, 2, 6] and kept("first_encounter_only") == [1, 2, 5, 6]
     assert kept("max_in_degree", max_in_degree=1) == [1, 2, 5, 6] and kept("max_in_degree", max_in_degree=2) == list(range(1, 9))
     assert kept("same_depth_only") == [4, 8] and kept("deeper_only") == [1, 2, 3, 6, 7]
+    assert kept("max_in_degree", max_in_degree=0) == []
+    hub = spark.createDataFrame([(k, f"s{k // 3}", "T", 0, 1, k == 0) for k in range(300)], df.schema)
+    for k in (1, 7, 99, 100, 101):
+        assert sorted(r["seq"] for r in apply_edge_strategy(hub, "max_in_degree", max_in_degree=k).collect()) == list(range(300 if k > 100 else 3 * (k - 1) + 1 if k <= 100 else 300))
     with pytest.raises(ValueError):
         CrawlPlan(edge_strategy="none")
 
@@ -169,6 +239,7 @@ def test_vectors(spark):
     assert got == [(0, 0, 1), (0, 50, 2), (0, 1, 3)]
     pts = spark.createDataFrame([(k, [1.0, 0.01 * k]) for k in range(4)] + [(10 + k, [0.01 * k, 1.0]) for k in range(3)] + [(20, [-1.0, -1.0])], s)
     labels = {r[0]: r[1] for r in search.dbscan(pts, eps=0.05).collect()}
+    assert {r[0]: r[1] for r in search.dbscan(pts.unionByName(pts), eps=0.05).collect()} == labels
     assert labels == {0: 0, 1: 0, 2: 0, 3: 0, 10: 10, 11: 10, 12: 10, 20: -1}
     ward = {r[0]: r[1] for r in search.ward(pts, 3).collect()}
     assert len({ward[k] for k in range(4)}) == 1 and len(set(ward.values())) == 3

@@ -7,9 +7,12 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from skein.functions import nodes as N
+from skein.functions import validate as V
 from skein.operators import stats
 from skein.operators.graph import WebGraph, merge_graphs, merge_strategy
 from skein.schema import EDGES, NODES
+from skein.shared import salted_join
 from skein.sources.io import Catalog, dot_lines, export_edges, graph_summary, read_graph, upsert_nodes, write_graph
 
 T1, T2 = datetime(2025, 1, 1), datetime(2025, 2, 1)
@@ -165,3 +168,66 @@ def test_laws(spark, left, right):
     assert urls(a | b) == set(left) | set(right)
     assert urls((a - b) | (a & b)) == set(left)
     assert urls(a ^ b) == urls(b ^ a) == set(left) ^ set(right)
+
+
+def test_access_and_equality(g1, g2, spark):
+    assert g1 == g1.with_strategy("first") and g1 != g2 and not g1 == "x" and hash(g1)
+    assert g1["http://x.y/B"]["depth"] == 1 and g1[0]["node_id"] == "A" and {r["node_id"] for r in g1} == set("ABCD")
+    for key, error in (("nothing", KeyError), (9, IndexError), (-1, IndexError)):
+        with pytest.raises(error):
+            g1[key]
+    with pytest.raises(ValueError):
+        WebGraph(g1.nodes, g1.edges, "none")
+    pairs = spark.createDataFrame([("A", "B"), ("B", "C"), (None, "A")], "source_node_id string, target_node_id string")
+    assert {(r[0], r[1]): r["linked"] for r in g1.has_edges(pairs).collect()} == {("A", "B"): True, ("B", "C"): False, (None, "A"): False}
+    again = WebGraph.from_json_rows(g1.to_json_rows())
+    assert again == g1 and sorted(again.edges.select("edge_id").collect()) == sorted(g1.edges.select("edge_id").collect())
+
+
+def test_salted_joins(spark):
+    many = spark.createDataFrame([(k, "hot" if k % 3 else f"k{k}") for k in range(300)] + [(900, None)], "id int, key string")
+    few = spark.createDataFrame([("hot", 1), ("k0", 2), ("other", 3)], "key string, v int")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        want = sorted(map(str, many.join(few, "key", how).collect()))
+        assert sorted(map(str, salted_join(many, few, "key", how, rows_per_task=20).select(*many.join(few, "key", how).columns).collect())) == want
+
+
+def test_cycles_of_any_length(spark):
+    import itertools
+    import random
+
+    rng = random.Random(9)
+    arcs = {(rng.randrange(9), rng.randrange(9)) for _ in range(26)} | {(0, k) for k in range(1, 9)}
+    df = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in arcs] * 2, "source_node_id string, target_node_id string")
+    every = {}
+    for n in (1, 2, 3, 4):
+        every[n] = {p for p in itertools.permutations(range(9), n) if p[0] == min(p) and all((p[i], p[(i + 1) % n]) in arcs for i in range(n))}
+        assert sorted(tuple(int(x[1:]) for x in r[0]) for r in stats.cycles(df, n).collect()) == sorted(every[n])
+    found = [tuple(int(x[1:]) for x in r[0]) for r in stats.find_cycles(df, 5, max_length=4).collect()]
+    assert found == sorted((c for n in every for c in every[n]), key=lambda c: (len(c), c))[:5]
+    reach = set(arcs)
+    while True:
+        more = reach | {(a, d) for a, b in reach for c, d in arcs if b == c}
+        if more == reach:
+            break
+        reach = more
+    want = {(f"n{k}", f"n{min(j for j in range(9) if j == k or ((k, j) in reach and (j, k) in reach))}") for k in range(9) if (k, k) in reach}
+    for finish in (10**6, 0):
+        assert {tuple(r) for r in stats.cycle_members(df, finish_pairs=finish).collect()} == want
+    assert stats.cycle_members(df.limit(0)).count() == 0 and stats.find_cycles(df.limit(0), 3).count() == 0
+
+
+def test_popular_nodes_with_few_links(g1):
+    assert [r["node_id"] for r in stats.popular_nodes(g1.nodes, g1.edges, 4, "out_degree").collect()][:2] == ["A", "B"]
+    assert stats.popular_nodes(g1.nodes, g1.edges, 9).count() == 4 and stats.popular_nodes(g1.nodes, g1.edges.limit(0), 2).count() == 2
+
+
+def test_node_values_and_checks(g1, spark):
+    m = g1.nodes.select("node_id", N.title(F.col("metadata")).alias("t"), N.meta_value(F.col("metadata"), "x", F.lit("d")).alias("x")).where("node_id in ('A', 'B')").orderBy("node_id").collect()
+    assert [(r["t"], r["x"]) for r in m] == [(None, "d"), ("b1", "d")]
+    scans = spark.createDataFrame([("C", 404, None), ("C", 200, "h"), (None, 1, "z")], "node_id string, response_status int, content_hash string")
+    assert {(r["node_id"], r["scanned"], r["response_status"]) for r in N.mark_scanned(g1.nodes, scans).collect()} == {("A", True, None), ("B", True, 200), ("C", True, 404), ("D", False, None)}
+    assert abs(N.estimated_memory_mb(1000, 2000) - (1000 * 1500 + 2000 * 500) * 1.2 / 2**20) < 1e-9
+    df = spark.createDataFrame([("https://a.b", 80, "sequential"), ("", 0, "x"), ("a.b", 70000, None), (None, None, "BATCH")], "u string, n int, c string")
+    got = df.select(V.check_url(F.col("u"), "url"), V.check_port(F.col("n"), "port"), V.check_choice(F.col("c"), "mode", ["sequential", "batch"]), V.check_length(F.col("c"), "c", least=2, most=9, allow_empty=False), V.check_percentage(F.col("n"), "p")).collect()
+    assert [[x is None for x in r] for r in got] == [[True, True, True, False, True], [False, False, False, False, True], [False, False, False, False, False], [False, False, True, True, False]]
