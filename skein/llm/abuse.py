@@ -2,8 +2,8 @@
 
 Method: a noisy channel.  Tokens that were disguised (digits and signs for
 letters, letters of another alphabet, stretched, spaced or masked letters) are
-lattices of the characters that they may stand for; a Viterbi search under a
-character language model of the whole corpus restores them.  The restored text
+lattices of the characters that they may stand for; an exact Viterbi search under
+a character language model of the whole corpus restores them.  The restored text
 is scored passage by passage with a linear model, fitted on a bounded sample of
 reviewed documents; a document's score is that of its worst passage.
 """
@@ -25,9 +25,11 @@ from skein.shared import written
 
 #: Reviewed documents to fit on, at most (chosen by a hash of the id).
 SAMPLE_DOCS = 20_000
-#: Character n-grams of the language model, the most frequent ones.
-MODEL_GRAMS = 300_000
+#: Share of all n-grams that one must have to be in the language model, which so has ``1 / GRAM_SHARE`` at most at any size.
+GRAM_SHARE = 2e-7
 ORDER = 4
+#: Contexts that the first search for a reading keeps; the second one keeps all that may win.
+FIRST_WIDTH = 100
 #: Words of a window within a long passage.
 WINDOW = 14
 #: A word needs no restoring from this share of all words on (and 30 uses), so that the same text decides the same way in a corpus of any size.
@@ -93,21 +95,29 @@ class CharModel:
         return self._read(token, bool(cyrillic))[1]
 
     def _read(self, token: str, cyrillic: bool) -> tuple[float, str]:
-        beam: dict[str, tuple[float, str]] = {"^" * (ORDER - 1): (0.0, "")}
-        k = 0
+        """The best reading, exactly.
+
+        A first search keeps the best contexts only and gives a score that the
+        best reading has at least.  If that left contexts out, a second one keeps
+        all that this score does not rule out: letters still to come cost
+        something, so a context below it can't win.
+        """
+        best, text, whole = self._search(token, cyrillic, -1e18, FIRST_WIDTH)
+        return (best, text) if whole else self._search(token, cyrillic, best, None)[:2]
+
+    def _search(self, token: str, cyrillic: bool, floor: float, width: int | None) -> tuple[float, str, bool]:
+        # The state is the context of the model, so that the best reading of each is all that has to be kept.
+        states: dict[str, tuple[float, str]] = {"^" * (ORDER - 1): (0.0, "")}
+        k, whole = 0, True
         while k < len(token):
             c = token[k]
             run = 1
             while k + run < len(token) and token[k + run] == c:
                 run += 1
             if c == "*":
-                letters = self._wild(cyrillic)
-                readings = [(x, -1.0) for x in letters]
-                for _ in range(run):
-                    beam = self._step(beam, readings)
+                steps, options = run, [(x, -1.0) for x in self._wild(cyrillic)]
             else:
-                single = STANDS_FOR.get(c)
-                options = [(x, -0.7) for x in single] if single else []
+                steps, options = 1, [(x, -0.7) for x in STANDS_FOR.get(c, "")]
                 if c in LOOKALIKES and not cyrillic:
                     options.append((LOOKALIKES[c].lower(), -0.3))
                 elif c in _REVERSED and cyrillic:
@@ -117,31 +127,32 @@ class CharModel:
                 if not options:
                     options = [("", -1.0)]
                 if run > 1:
-                    options = [(x, s) for x, s in options] + [(x * 2, s - 0.2) for x, s in options if x]
-                beam = self._step(beam, options)
+                    options += [(x * 2, s - 0.2) for x, s in options if x]
+            for _ in range(steps):
+                states = self._step(states, options, floor - 1e-9)
+                if width and len(states) > width:
+                    states, whole = dict(sorted(states.items(), key=lambda e: -e[1][0])[:width]), False
             k += run
         best, text = -1e18, token
-        for context, (score, read) in beam.items():
+        for context, (score, read) in states.items():
             score += self.log(context, "$")
             if score > best:
                 best, text = score, read
-        return best, text
+        return best, text, whole
 
     def _wild(self, cyrillic: bool) -> list[str]:
         return [x for x in self.letters if bool(_CYRILLIC.match(x)) == cyrillic]
 
-    def _step(self, beam: dict[str, tuple[float, str]], options: list[tuple[str, float]]) -> dict[str, tuple[float, str]]:
+    def _step(self, states: dict[str, tuple[float, str]], options: list[tuple[str, float]], floor: float) -> dict[str, tuple[float, str]]:
         out: dict[str, tuple[float, str]] = {}
-        for context, (score, read) in beam.items():
+        for context, (score, read) in states.items():
             for x, cost in options:
                 s, ctx = score + cost, context
                 for ch in x:
                     s += self.log(ctx, ch)
                     ctx = ctx[1:] + ch
-                if ctx not in out or s > out[ctx][0]:
+                if s >= floor and (ctx not in out or s > out[ctx][0]):
                     out[ctx] = (s, read + x)
-        if len(out) > 400:
-            out = dict(sorted(out.items(), key=lambda e: -e[1][0])[:400])
         return out
 
 
@@ -289,9 +300,9 @@ def char_model(words: DataFrame) -> CharModel:
                         grams[g] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["g", "n"])
 
-    grams = words.mapInArrow(count, "g string, n bigint")
-    rows = grams.groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(MODEL_GRAMS).collect()
-    return CharModel({r["g"]: r["n"] for r in rows})
+    grams = written(words.mapInArrow(count, "g string, n bigint").groupBy("g").agg(F.sum("n").alias("n")), "grams")
+    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return CharModel({r["g"]: r["n"] for r in grams.where(F.col("n") >= GRAM_SHARE * total).collect()})
 
 
 def frequent_words(words: DataFrame, least: int = 30, share: float = KNOWN_SHARE) -> frozenset[str]:

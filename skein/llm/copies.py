@@ -72,5 +72,10 @@ def formatting_copies(rows: DataFrame, *, key: str = "node_id", text: str = "url
     members = spread.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
     found = members.join(salted.drop("salts"), ["raw", "salt"]).select("canon", "group_id", "id").distinct()
     # Copies are counted by id: an id with two spellings of one text is one copy.
-    twice = found.groupBy("canon", "group_id").agg(F.count(F.lit(1)).alias("n_copies")).where(F.col("n_copies") > 1)
-    return found.join(twice, ["canon", "group_id"]).select(F.col("group_id").alias("group_node_id"), F.col("id").alias(key), F.col("n_copies").cast("int").alias("n_copies"))
+    found = written(found, "members")
+    twice = written(found.groupBy("canon", "group_id").agg(F.count(F.lit(1)).alias("n_copies")).where(F.col("n_copies") > 1), "groups")
+    last = F.least(F.lit(1023), F.floor(F.col("n_copies") / MEMBERS_PER_TASK)).cast("int")
+    large = twice.where(last > 0).select("canon", last.alias("last"))
+    placed = found.join(F.broadcast(large) if large.limit(10_001).count() <= 10_000 else large, "canon", "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("last", F.lit(0)) + 1).cast("int")).drop("last")
+    split = twice.withColumn("salt", F.explode(F.sequence(F.lit(0), last)))
+    return placed.join(split, ["canon", "group_id", "salt"]).select(F.col("group_id").alias("group_node_id"), F.col("id").alias(key), F.col("n_copies").cast("int").alias("n_copies"))

@@ -109,8 +109,13 @@ def test_mixture(spark):
     assert set(r) == {"article", "for_um", "nothing"} and r["nothing"]["tokens_used"] == 0
     assert abs(r["article"]["tokens_used"] - r["article"]["tokens_wanted"]) <= 60 and r["article"]["repeats"] == 1
     assert r["for_um"]["repeats"] == 2 and r["for_um"]["tokens_used"] <= 2 * r["for_um"]["tokens_available"] and abs(sum(x["actual_share"] for x in r.values()) - 1) < 1e-9
+    r = {x["source_name"]: x for x in mixture_report(docs, t, block_tokens=200).collect()}
     plan = mixture_schedule(docs, t, block_tokens=200).collect()
     assert len(plan) == sum(x["uses"] for x in r.values()) and len({(x["doc_id"], x["pass_no"]) for x in plan}) == len(plan) and all(x["slot_no"] is not None for x in plan)
+    counted = {}
+    for x in plan:
+        counted[x["source_name"]] = counted.get(x["source_name"], 0) + x["n_tokens"]
+    assert counted == {k: x["tokens_used"] for k, x in r.items() if x["tokens_used"]}
     order = [s for _, s in sorted({(x["slot_no"], x["source_name"]) for x in plan})]
     half = order[: len(order) // 2]
     assert abs(half.count("article") - order.count("article") / 2) <= 2
@@ -166,11 +171,14 @@ def test_frequent_disguises_are_restored(spark):
     assert restored_words("nаkеd idiiiot iddiot little", char_model(words), {}, known) == ["naked", "idiot", "idiot", "little"]
 
 
-def test_too_many_targets_are_an_error(spark, monkeypatch):
+def test_many_targets(spark, monkeypatch):
+    """Any number of wanted sources, with and without broadcast, and small blocks that all find a slot."""
     from skein.llm import mixing
 
-    monkeypatch.setattr(mixing, "MAX_TARGETS", 2)
-    rows = [("article", 0.5, 1, 0.5), ("for_um", 0.4, 2, 0.9), (None, 0.1, 1, 1.0)]
-    assert mixture_report(corpus(spark), targets(spark, rows)).count() == 2
-    with pytest.raises(ValueError, match="more than 2"):
-        mixture_report(corpus(spark), targets(spark, [*rows, ("other", 0.1, 1, 1.0)]))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id")).alias("text"), F.concat(F.lit("s"), F.pmod("id", F.lit(700))).alias("source"))
+    wanted = targets(spark, [(f"s{k}", 1 / 800, 2, 1.0) for k in range(800)])
+    once = {tuple(r) for r in mixture_report(docs, wanted, block_tokens=3, words=True).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_USES", 0)
+    assert {tuple(r) for r in mixture_report(docs, wanted, block_tokens=3, words=True).collect()} == once and len(once) == 800
+    used = {r["source_name"]: r["tokens_used"] for r in mixture_report(docs, wanted, block_tokens=3, words=True).collect()}
+    assert all(abs(used[f"s{k}"] - 6000 / 800) <= 2 for k in range(700)) and used["s750"] == 0
