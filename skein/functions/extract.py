@@ -135,6 +135,27 @@ def page_language(html: Column) -> Column:
     return F.nullif(attribute(F.get(_tags(html, "html"), F.lit(0)), "lang"), F.lit(""))
 
 
+def meta_property(html: Column, name: str) -> Column:
+    """Content of the first meta element whose name or property is ``name``, without letter case; null if blank."""
+    named = F.filter(_tags(html, "meta"), lambda t: F.lower(F.coalesce(attribute(t, "property"), attribute(t, "name"))) == name)
+    t = clean_text(attribute(F.get(named, F.lit(0)), "content"))
+    return F.when(t != "", t)
+
+
+def article(html: Column) -> Column:
+    """Struct of an article's title, authors, publish_date, summary, top_image and keywords, from its metadata; null where absent."""
+    listed = lambda c: F.filter(F.transform(F.split(c, r"\s*[,;]\s*"), F.trim), lambda x: x != "")
+    when = F.coalesce(meta_property(html, "article:published_time"), meta_property(html, "date"), attribute(F.get(_tags(html, "time"), F.lit(0)), "datetime"))
+    return F.struct(
+        F.coalesce(meta_property(html, "og:title"), page_title(html)).alias("title"),
+        F.coalesce(listed(F.coalesce(meta_property(html, "author"), meta_property(html, "article:author"))), F.array().cast("array<string>")).alias("authors"),
+        when.try_cast("timestamp").alias("publish_date"),
+        F.coalesce(meta_property(html, "og:description"), meta_content(html, "description", MAX_DESCRIPTION)).alias("summary"),
+        F.coalesce(meta_property(html, "og:image"), F.get(sources(html, "img"), F.lit(0))).alias("top_image"),
+        F.coalesce(listed(meta_property(html, "keywords")), F.array().cast("array<string>")).alias("keywords"),
+    )
+
+
 def page_metadata(html: Column) -> Column:
     """Struct of title, description, keywords and h1; null where absent."""
     return F.struct(page_title(html).alias("title"), meta_content(html, "description", MAX_DESCRIPTION).alias("description"), meta_content(html, "keywords", MAX_KEYWORDS).alias("keywords"), page_h1(html).alias("h1"))

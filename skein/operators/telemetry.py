@@ -152,13 +152,13 @@ def _fold(start: Callable, step: Callable):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = object(), None
         for b in batches:
-            ids, keys, values = b.column(0).to_pylist(), b.column(1).to_pylist(), []
-            for i, key in enumerate(keys):
+            ids, values = b.column(0), []
+            for key, *row in zip(*(c.to_pylist() for c in b.columns[1:5])):
                 if key != current:
                     current, state = key, start()
-                state, out = step(state, b.column(2)[i].as_py(), b.column(3)[i].as_py(), b.column(4)[i].as_py())
+                state, out = step(state, *row)
                 values.append(out)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(values, pa.float64())], names=["id", "key", "value"]) if ids else b
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(values, pa.float64())], names=["id", "key", "value"]) if len(ids) else b
 
     return run
 

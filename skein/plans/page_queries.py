@@ -240,7 +240,12 @@ SELECT url, target, count(*) AS n FROM t WHERE regexp_matches(target, '^https?:/
     "page_text_hash": f"WITH {_R} SELECT response_id, sha256(coalesce(html, '')) AS hash FROM r",
     "response_flags": f"WITH {_R} SELECT response_id, error IS NULL AND html IS NOT NULL AS success, coalesce(status_code BETWEEN 200 AND 299, false) AS is_2xx, coalesce(final_url <> url, false) AS redirected, CAST(coalesce(len(redirect_chain), 0) AS integer) AS n_hops, coalesce(list_filter(map_entries(headers), lambda e: lower(e.key) = 'content-type')[1].value, '') AS content_type FROM r",
     "cache_keys": f"WITH {_R} SELECT response_id, md5(url) AS cache_key FROM r WHERE status_code = 200 AND error IS NULL",
-    "challenges": f"WITH {_R} SELECT 'none' AS challenge, CAST(NULL AS varchar) AS captcha, count(*) AS n FROM r",
+    "challenges": f"""WITH {_R}, h AS (SELECT coalesce(html, '') AS t, coalesce(status_code, 0) AS st, coalesce(lower(list_filter(map_entries(headers), lambda e: lower(e.key) = 'server')[1].value), '') LIKE 'cloudflare%' AS cdn FROM r),
+f AS (SELECT *, regexp_matches(t, {_q("(?s)" + extract.CHALLENGE_FORM)}) AS form FROM h),
+g AS (SELECT *, form AND st IN (429, 503) AND contains(t, '{extract.CHALLENGE_TRACES[0]}') AS iuam, form AND st = 403 AND regexp_matches(t, {_q(extract.CHALLENGE_TRACES[1])}) AS cap FROM f)
+SELECT CASE WHEN NOT cdn THEN 'none' WHEN st = 403 AND contains(t, {_q(extract.FIREWALL_CODE)}) THEN 'firewall_1020' WHEN cap AND regexp_matches(t, {_q(extract.CHALLENGE_SCRIPT.format(kind="(?:captcha|managed)"))}) THEN 'captcha_v2' WHEN cap THEN 'captcha_v1'
+  WHEN regexp_matches(t, {_q("(?i)" + "|".join(extract.TURNSTILE))}) THEN 'turnstile' WHEN iuam AND regexp_matches(t, {_q(extract.CHALLENGE_SCRIPT.format(kind="jsch"))}) THEN 'iuam_v2' WHEN iuam THEN 'iuam_v1' ELSE 'none' END AS challenge,
+  CASE {" ".join(f"WHEN regexp_matches(t, {_q(p)}) THEN '{n}'" for n, p in extract.CAPTCHAS)} WHEN regexp_matches(lower(t), '{extract.GEETEST}') THEN 'geetest' END AS captcha, count(*) AS n FROM g GROUP BY 1, 2""",
     "filters": f"SELECT node_id, {_FILTER_D} AS by_domain, {_FILTER_P} AS by_path FROM nodes",
     "rule_match": f"SELECT node_id, rule, coalesce(priority, [9, 7, 2, 6][rule + 1], 5) AS priority, scan, CASE WHEN rule = 2 THEN false ELSE scan AND coalesce(CASE rule WHEN 0 THEN true WHEN 3 THEN false END, true) END AS follow FROM (SELECT node_id, priority, rule, coalesce(CASE rule WHEN 0 THEN true WHEN 2 THEN false WHEN 3 THEN true END, d AND p) AS scan FROM (SELECT node_id, priority, {_RULE} AS rule, {_FILTER_D} AS d, {_FILTER_P} AS p FROM nodes))",
     "crawl_levels": f"WITH RECURSIVE {_WALK} SELECT depth, depth <= 5 AS scanned, count(*) AS n, 'https://crawl.test/' || min(node) AS first, CAST(sum(count(*)) OVER (ORDER BY depth) - 1 AS BIGINT) AS last_num FROM v GROUP BY 1",

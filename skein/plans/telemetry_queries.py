@@ -131,12 +131,35 @@ _SIM = {
 }
 
 
+_ORDERED = f"""{_R}, o AS (SELECT id, key, CAST(epoch_us(ts) AS DOUBLE) / 1e6 AS t, ok, CAST(seconds AS DOUBLE) AS seconds, row_number() OVER (PARTITION BY key ORDER BY ts, id) AS k,
+  sum(CAST(ok AS INTEGER)) OVER (PARTITION BY key ORDER BY ts, id) AS n_ok FROM r)"""
+_THROTTLE = f"""WITH RECURSIVE {_ORDERED},
+good AS (SELECT key, n_ok, avg(seconds) OVER (PARTITION BY key ORDER BY k ROWS 99 PRECEDING) AS mean FROM o WHERE ok),
+bad AS (SELECT *, avg(CAST(NOT ok AS INTEGER)) OVER (PARTITION BY key ORDER BY k ROWS 99 PRECEDING) AS errors FROM o),
+turn AS (SELECT bad.key, bad.k // 10 AS j, CASE WHEN errors > 0.1 THEN 1 WHEN mean < 0.5 THEN -1 ELSE 0 END AS way FROM bad LEFT JOIN good USING (key, n_ok) WHERE bad.k % 10 = 0),
+d(key, j, delay) AS (SELECT DISTINCT key, CAST(0 AS BIGINT), CAST(0.5 AS DOUBLE) FROM o UNION ALL SELECT d.key, turn.j, CASE way WHEN 1 THEN least(CAST(5 AS DOUBLE), d.delay * CAST(1.5 AS DOUBLE)) WHEN -1 THEN greatest(CAST(0.1 AS DOUBLE), d.delay * CAST(0.8 AS DOUBLE)) ELSE d.delay END FROM d JOIN turn ON turn.key = d.key AND turn.j = d.j + 1)
+SELECT o.id, o.key, d.delay FROM o JOIN d ON d.key = o.key AND d.j = o.k // 10"""
+_BUCKET = f"""WITH RECURSIVE {_ORDERED},
+s(key, k, id, t, tokens) AS (SELECT key, k, id, t, CAST(0.002 AS DOUBLE) FROM o WHERE k = 1 UNION ALL
+  SELECT o.key, o.k, o.id, o.t, least(CAST(0.002 AS DOUBLE), s.tokens - 1 + (o.t - s.t) * CAST(0.001 AS DOUBLE)) FROM s JOIN o ON o.key = s.key AND o.k = s.k + 1)
+SELECT id, key, CASE WHEN tokens >= 1 THEN CAST(0 AS DOUBLE) ELSE (1 - tokens) / CAST(0.001 AS DOUBLE) END AS wait FROM s"""
+_DBSCAN = f"""WITH RECURSIVE n AS (SELECT q.vec_id AS a, v.vec_id AS b FROM embeddings q, embeddings v WHERE q.vec_id <> v.vec_id AND 1 - {_SIM["cosine"]} <= 0.5),
+core AS (SELECT a FROM n GROUP BY a HAVING count(*) + 1 >= 2),
+w(a, b) AS (SELECT a, a FROM core UNION SELECT w.a, n.b FROM w JOIN n ON n.a = w.b WHERE n.b IN (SELECT a FROM core)),
+named AS (SELECT a, min(b) AS cluster FROM w GROUP BY 1),
+edge AS (SELECT n.a, arg_min(named.cluster, n.b) AS cluster FROM n JOIN named ON named.a = n.b WHERE n.a NOT IN (SELECT a FROM core) GROUP BY 1)
+SELECT CAST(coalesce(named.cluster, edge.cluster, -1) AS BIGINT) AS cluster, count(*) AS n FROM embeddings e LEFT JOIN named ON named.a = e.vec_id LEFT JOIN edge ON edge.a = e.vec_id GROUP BY 1"""
+
+
 def _top(metric: str, k: int = 10) -> str:
     return f"SELECT query_id, vec_id, CAST(rank AS integer) AS rank, round(similarity, 4) AS similarity FROM (SELECT q.vec_id AS query_id, v.vec_id, {_SIM[metric]} AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_SIM[metric]}, 9) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0) WHERE rank <= {k}"
 
 
 _QUEUE = "qu AS (SELECT node_id AS id, url, priority, created_at, CASE WHEN response_status >= 400 THEN 'failed' WHEN scanned THEN 'done' ELSE 'pending' END AS status FROM nodes)"
 SQL = {
+    "throttle_delays": _THROTTLE,
+    "token_bucket_waits": _BUCKET,
+    "vector_clusters_dbscan": _DBSCAN,
     "crawl_metrics": f"WITH {_R} SELECT {_METRICS} FROM r",
     "crawl_metrics_by_kind": f"WITH {_R} SELECT kind, {_METRICS} FROM r GROUP BY 1",
     "fetch_histogram": f"WITH {_R} " + " UNION ALL ".join(f"SELECT CAST({b} AS double) AS bound, count(*) FILTER (seconds <= {b}) AS n FROM r" for b in T.FETCH_BUCKETS) + " UNION ALL SELECT CAST('inf' AS double), count(seconds) FROM r",

@@ -98,6 +98,14 @@ def test_markup_as_parsers_read_it(spark):
     assert one(spark, "<p>a</p><script>var x</script>", lambda c: visible_text(c, scripts=False)) == "a" and len(one(spark, "<p>" + "x" * 20_000, page_text)) == 10_003
 
 
+def test_articles(spark):
+    html = """<title>T</title><meta property="og:title" content="A &amp; B"><meta content="Ann, Bo" name=author><meta property='article:published_time' content='2025-01-02T03:04:05Z'><meta name=keywords content="x; y,"><img src=i.png>"""
+    a = one(spark, html, extract.article)
+    assert (a["title"], a["authors"], str(a["publish_date"]), a["summary"], a["top_image"], a["keywords"]) == ("A & B", ["Ann", "Bo"], "2025-01-02 03:04:05", None, "i.png", ["x", "y"])
+    b = one(spark, None, extract.article)
+    assert b["title"] is None and b["authors"] == [] and one(spark, "<meta name=date content=soon>", extract.article)["publish_date"] is None
+
+
 def test_challenges_and_captchas(spark):
     s = "html string, status int, headers map<string,string>"
     form = '<form id="challenge-form" class="challenge-form" action="/x__cf_chl_f_tk=1">'
