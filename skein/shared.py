@@ -22,30 +22,24 @@ _OWN_DIRS: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+def _file_system(spark: SparkSession, path: str):
+    named = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return named.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), named
 
 
 def release() -> None:
     """Delete everything that :func:`written` wrote so far; tables read from it can't be read any more."""
     while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        try:
-            _delete(spark, path)
-        except Exception:  # the session has ended: what lies in a local folder goes with it
-            continue
+        fs, path = _file_system(*_WRITTEN.pop())
+        fs.delete(path, True)
 
 
-def _at_exit() -> None:
-    release()
+@atexit.register
+def _remove_own() -> None:
     for path in _OWN_DIRS.values():
         shutil.rmtree(path, ignore_errors=True)
 
 
-atexit.register(_at_exit)
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """Folder for written intermediates: the cluster's, or a local one on a local master without any."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -63,8 +57,10 @@ def written(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and return the table read back from it."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/skein-{label}-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
     df.write.parquet(path)
+    fs, named = _file_system(spark, path)
+    fs.deleteOnExit(named)
+    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
