@@ -164,7 +164,7 @@ class WebGraph:
         ids = ids.select("node_id").distinct()
         edges = self.edges
         for end in ("source_node_id", "target_node_id"):
-            edges = salted_join(edges, ids.select(F.col("node_id").alias(end)), end, "left_anti").select(*self.edges.columns)
+            edges = salted_join(edges, ids.select(F.col("node_id").alias(end)), end, "left_anti", counted=self.edges).select(*self.edges.columns)
         return replace(self, nodes=self.nodes.join(ids, "node_id", "left_anti"), edges=edges)
 
     def handle_redirects(self, redirects: DataFrame) -> WebGraph:
@@ -228,7 +228,7 @@ class WebGraph:
         edges = self.edges
         for end in ("source_node_id", "target_node_id"):
             names = self.nodes.select(F.col("node_id").alias(end), "url").join(ids, "url").select(end, "new_id")
-            edges = salted_join(edges, names, end).withColumn(end, F.col("new_id")).drop("new_id")
+            edges = edges.join(names, end).withColumn(end, F.col("new_id")).drop("new_id")
         return edges.select(*self.edges.columns)
 
     def difference(self, other: WebGraph) -> WebGraph:
@@ -305,7 +305,7 @@ class WebGraph:
 def _induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     out = edges
     for end in ("source_node_id", "target_node_id"):
-        out = salted_join(out, nodes.select(F.col("node_id").alias(end)), end, "left_semi").select(*edges.columns)
+        out = out.join(nodes.select(F.col("node_id").alias(end)), end, "left_semi").select(*edges.columns)
     return out
 
 

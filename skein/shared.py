@@ -73,19 +73,20 @@ def parts_for(rows: int, per_part: int = 100_000, most: int = 20_000) -> int:
 ROWS_PER_TASK, BROADCAST_KEYS = 200_000, 100_000
 
 
-def salted_join(many: DataFrame, few: DataFrame, key: str, how: str = "inner", rows_per_task: int | None = None) -> DataFrame:
+def salted_join(many: DataFrame, few: DataFrame, key: str, how: str = "inner", rows_per_task: int | None = None, counted: DataFrame | None = None) -> DataFrame:
     """``many`` joined to ``few`` (unique in ``key``), the rows of a hot key in as many parts as they need.
 
-    Keys are counted first, from partial sums; only those with more than
-    ``rows_per_task`` rows are split, and ``few`` is repeated for these alone.
+    Keys are counted first, from partial sums, in ``counted`` if given (a table
+    with at least the rows of ``many``, cheaper to read); only those with more
+    than ``rows_per_task`` rows are split, and ``few`` is repeated for these alone.
     """
     rows = rows_per_task or ROWS_PER_TASK
-    hot = many.groupBy(key).agg(F.floor(F.count(F.lit(1)) / rows).cast("int").alias("_last")).where("_last > 0")
-    hot = written(hot.where(F.col(key).isNotNull()), "hot")
-    n_hot = hot.limit(BROADCAST_KEYS + 1).count()
-    if not n_hot:
+    source = many if counted is None else counted
+    hot = source.where(F.col(key).isNotNull()).groupBy(key).agg(F.floor(F.count(F.lit(1)) / rows).cast("int").alias("_last")).where("_last > 0")
+    found = hot.limit(BROADCAST_KEYS + 1).collect()
+    if not found:
         return many.join(few, key, how)
-    side = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
+    side = F.broadcast(many.sparkSession.createDataFrame(found, hot.schema)) if len(found) <= BROADCAST_KEYS else written(hot, "hot")
     others = [c for c, t in many.dtypes if c != key and not t.startswith("map")] or [key]
     placed = many.join(side, key, "left").withColumn("_part", F.pmod(F.xxhash64(*others), F.coalesce("_last", F.lit(0)) + 1).cast("int")).drop("_last")
     split = few.join(side, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_last", F.lit(0))))).drop("_last")

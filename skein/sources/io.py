@@ -67,7 +67,7 @@ def upsert_nodes(stored: DataFrame, new: DataFrame) -> DataFrame:
 def export_edges(graph: WebGraph) -> DataFrame:
     """Edges with what is known of both ends; unknown ends have blank urls."""
     end = lambda p: graph.nodes.select(F.col("node_id").alias(f"{p}_node_id"), F.col("url").alias(f"{p}_url"), F.col("depth").alias(f"{p}_depth"), F.col("scanned").alias(f"{p}_scanned"))
-    rows = salted_join(salted_join(graph.edges, end("source"), "source_node_id", "left"), end("target"), "target_node_id", "left")
+    rows = salted_join(salted_join(graph.edges, end("source"), "source_node_id", "left"), end("target"), "target_node_id", "left", counted=graph.edges)
     return rows.select("edge_id", "source_node_id", "target_node_id", F.coalesce("source_url", F.lit("")).alias("source_url"), F.coalesce("target_url", F.lit("")).alias("target_url"), "source_depth", "target_depth", F.to_json("metadata").alias("metadata"))
 
 
